@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, sharding, topk
+from millrace.llm import chat_format, sharding, simhash, topk
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,12 @@ def op1_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_simhash(spark, sf_dir):
+    """SimHash fingerprints and near-duplicate components of all documents."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), n_words=4, max_bits=4)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_chat_formatting(spark, sf_dir):
     """All conversations and one of control strings, formatted and read back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,7 +49,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op7_chat_formatting": op7_chat_formatting, "op10_exact_topk": op10_exact_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op5_simhash": op5_simhash, "op7_chat_formatting": op7_chat_formatting, "op10_exact_topk": op10_exact_topk}
 
 SQL: dict[str, str] = {
     "op7_chat_formatting": r"""
