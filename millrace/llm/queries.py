@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, sharding, simhash, topk
+from millrace.llm import chat_format, sharding, simhash, suffix_dedup, topk
 
 
 def _table(spark, sf_dir, name):
@@ -23,6 +26,25 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    """What all documents lose to byte strings that start earlier."""
+
+    def digests(parts):
+        for pdf in parts:
+            rows = []
+            for text, spans in zip(pdf.text, pdf.spans, strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                joined = suffix_dedup.join_spans((s["start"], s["stop"]) for s in spans) if spans is not None else []
+                kept = suffix_dedup.remaining(data, joined)
+                rows.append((len(data), len(data) - len(kept), len(joined), hashlib.sha256(kept).hexdigest()))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out.insert(0, "doc_id", pdf.doc_id.array)
+            yield out
+
+    docs = suffix_dedup.keyed_documents(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.with_spans(docs).mapInPandas(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op7_chat_formatting(spark, sf_dir):
     """All conversations and one of control strings, formatted and read back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,7 +71,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_simhash": op5_simhash, "op7_chat_formatting": op7_chat_formatting, "op10_exact_topk": op10_exact_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op10_exact_topk": op10_exact_topk}
 
 SQL: dict[str, str] = {
     "op7_chat_formatting": r"""
