@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, sharding, simhash, suffix_dedup, topk
+from millrace.llm import chat_format, sharding, simhash, sketch, suffix_dedup, topk
 
 
 def _table(spark, sf_dir, name):
@@ -65,13 +65,18 @@ def op7_chat_formatting(spark, sf_dir):
     )
 
 
+def op8_fingerprints(spark, sf_dir):
+    """Sketches of all documents beside those of their half-edited texts and next documents."""
+    return sketch.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark, sf_dir):
     """The five best rows for every query row of the embeddings."""
     rows = topk.integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op10_exact_topk": op10_exact_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op10_exact_topk": op10_exact_topk}
 
 SQL: dict[str, str] = {
     "op7_chat_formatting": r"""
