@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, pieces, sharding, simhash, sketch, suffix_dedup, topk
+from millrace.llm import chat_format, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,14 @@ def op1_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents; labels are learned outside the held-out fifth only."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_sentencepiece(spark, sf_dir, model_file="/opt/tokenizers/piece_bpe_32k.model"):
     """The ids of all documents under a public piece model, and whether they decode to the text again."""
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), model_file)
@@ -81,7 +89,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_sentencepiece": op3_sentencepiece, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op10_exact_topk": op10_exact_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op10_exact_topk": op10_exact_topk}
 
 SQL: dict[str, str] = {
     "op7_chat_formatting": r"""
