@@ -9,8 +9,9 @@ The model file compiles to three transducers that are composed lazily with each
   only path of finite weight is the encoding;
 * byte fallback: a character that no piece covers goes through the ids of its bytes.
 
-The encoding is the shortest path in the tropical semiring. It is found position by position; the input is cut first where
-no piece can cross (before a run of marks, around line ends), and paths of short segments are remembered.
+The encoding is the shortest path in the tropical semiring: found position by position for weights of all kinds, and depth
+first where they are 0 or infinite. The input is cut first where no piece can cross (before a run of marks, around line
+ends), and paths of short segments are remembered.
 
 Defined results: null and empty texts have no ids; a mark in the text reads as a space, as in the model; repeated rows are
 encoded alike; an empty table gives no rows; other columns are ignored.
@@ -105,7 +106,7 @@ class PieceTransducer:
         if min(self.byte_ids) < 0:
             self.byte_ids = []
         self.merges = kind == _MERGES
-        self.longest = max(map(len, self.ids))
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.unknown_weight = max(self.weight.values()) + 10
         # Where no piece can cross: before a run of marks, and around line ends.
         self.cut_marks = not any(re.search("[^ ] ", p) for p in self.ids)
@@ -146,32 +147,61 @@ class PieceTransducer:
 
     def shortest_path(self, segment: str) -> list[int]:
         """Ids of the path of least weight through the composition of ``segment`` with the model."""
-        n, ids = len(segment), self.ids
-        # At each position: the weight so far, and the last arc's text. A merge model has one live state at each position.
-        weight: list[float] = [0.0] + [float("inf")] * n
-        arc = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = segment[start:end]
-                if piece in ids:
-                    if self.merges:
-                        before = arc[start]
-                        if weight[start] == 0.0 and (before not in ids and start and self.stays_apart("", piece) or (before in ids or not start) and self.stays_apart(before, piece)):
-                            weight[end], arc[end] = 0.0, piece
-                            break
-                    elif weight[start] + self.weight[piece] < weight[end]:
-                        weight[end], arc[end] = weight[start] + self.weight[piece], piece
-            last = segment[end - 1]
-            if last not in ids:
-                through = weight[end - 1] + (0.0 if self.merges else self.unknown_weight)
-                if through < weight[end]:
-                    weight[end], arc[end] = through, last
-        out: list[list[int]] = []
-        at = n
+        arcs = self._finite_path(segment) if self.merges else self._lightest_path(segment)
+        return [i for arc in arcs for i in ([self.ids[arc]] if arc in self.ids else self._fallback(arc))]
+
+    def _arcs(self, segment: str, start: int) -> list[str]:
+        """What can be read at a position: its pieces from the shortest on, or a character without a piece."""
+        out, end, ids, prefixes = [], start + 1, self.ids, self.prefixes
+        piece = segment[start:end]
+        if piece not in ids:
+            out.append(piece)
+        while True:
+            if piece in ids:
+                out.append(piece)
+            if piece not in prefixes or end >= len(segment):
+                return out
+            end += 1
+            piece = segment[start:end]
+
+    def _finite_path(self, segment: str) -> list[str]:
+        """A merge model's weights are 0 or infinite, so the first finite path found is the shortest. Each position is
+        reached by one finite path at most; one from which the end can't be reached isn't tried again."""
+        path: list[str] = []
+        at, before, dead, ids = 0, "", set(), self.ids
+        todo = [self._arcs(segment, 0)] if segment else []
+        while at < len(segment):
+            while todo[-1]:
+                arc = todo[-1].pop()
+                if at + len(arc) not in dead and (arc not in ids or self.stays_apart(before, arc)):
+                    break
+            else:
+                dead.add(at)
+                todo.pop()
+                at -= len(path.pop())
+                before = path[-1] if path and path[-1] in ids else ""
+                continue
+            path.append(arc)
+            at += len(arc)
+            before = arc if arc in ids else ""
+            todo.append(self._arcs(segment, at))
+        return path
+
+    def _lightest_path(self, segment: str) -> list[str]:
+        """Position by position, the least weight so far and its last arc."""
+        weight: list[float] = [0.0] + [float("inf")] * len(segment)
+        last = [""] * (len(segment) + 1)
+        for at in range(len(segment)):
+            for arc in self._arcs(segment, at):
+                to = at + len(arc)
+                through = weight[at] + self.weight.get(arc, self.unknown_weight)
+                if through < weight[to]:
+                    weight[to], last[to] = through, arc
+        path, at = [], len(segment)
         while at:
-            out.append([ids[arc[at]]] if arc[at] in ids else self._fallback(arc[at]))
-            at -= len(arc[at])
-        return [i for part in reversed(out) for i in part]
+            path.append(last[at])
+            at -= len(last[at])
+        return path[::-1]
 
 
 class _Remembered(dict):
@@ -180,11 +210,15 @@ class _Remembered(dict):
     def __init__(self, model: PieceTransducer, lead: str):
         super().__init__()
         self.model, self.lead = model, lead
+        self.older: dict[str, bytes] = {}  # what was remembered before; what is used again comes back
 
     def __missing__(self, text: str) -> bytes:
-        packed = self.model._packed(self.model.shortest_path(self.lead + text))
+        packed = self.older.get(text)
+        if packed is None:
+            packed = self.model._packed(self.model.shortest_path(self.lead + text))
         if len(text) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = self.copy()
                 self.clear()
             self[text] = packed
         return packed

@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
+from millrace.llm import chat_format, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -33,6 +33,11 @@ def op3_sentencepiece(spark, sf_dir, model_file="/opt/tokenizers/piece_bpe_32k.m
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), model_file)
 
 
+def op4_packing(spark, sf_dir):
+    """All documents packed into sequences of 8192 bytes."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.CAPACITY)
+
+
 def op5_simhash(spark, sf_dir):
     """SimHash fingerprints and near-duplicate components of all documents."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), n_words=4, max_bits=4)
@@ -89,7 +94,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op10_exact_topk": op10_exact_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op10_exact_topk": op10_exact_topk}
 
 SQL: dict[str, str] = {
     "op7_chat_formatting": r"""
