@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
+from millrace.llm import chat_format, html_text, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -88,13 +88,19 @@ def op8_fingerprints(spark, sf_dir):
     return sketch.compare_with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    """The main text of all pages."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op10_exact_topk(spark, sf_dir):
     """The five best rows for every query row of the embeddings."""
     rows = topk.integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op10_exact_topk": op10_exact_topk}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op9_html_extraction": op9_html_extraction, "op10_exact_topk": op10_exact_topk}
 
 SQL: dict[str, str] = {
     "op7_chat_formatting": r"""
