@@ -91,9 +91,10 @@ def _product(lo1, n1, lo2, n2):
     return lo1[at] + k // n2[at], lo2[at] + k % n2[at]
 
 
-def trie_self_join(bits: np.ndarray, group: np.ndarray, max_bits: int = MAX_BITS, small: int = 32, step: int = 200_000) -> np.ndarray:
+def trie_self_join(bits: np.ndarray, group: np.ndarray, max_bits: int = MAX_BITS, small: int = 32, step: int = 200_000, settle=_settle) -> np.ndarray:
     """Component labels of ``bits`` (uint64, sorted within the sorted ``group``): members of a group that differ in at most
-    max_bits bits are linked. Labels are indices into ``bits``."""
+    max_bits bits are linked. Labels are indices into ``bits``. settle(label, i, j) joins the components of such pairs, or of
+    those among them that pass its own check."""
     n = len(bits)
     label = np.arange(n)
     edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if n else np.array([0])
@@ -123,7 +124,7 @@ def trie_self_join(bits: np.ndarray, group: np.ndarray, max_bits: int = MAX_BITS
         if leaf.any():
             i, j = _product(lo1[leaf], (hi1 - lo1)[leaf], lo2[leaf], (hi2 - lo2)[leaf])
             near = (np.bitwise_count(bits[i] ^ bits[j]) <= max_bits) & (i != j)
-            _settle(label, i[near], j[near])
+            settle(label, i[near], j[near])
             lo1, hi1, lo2, hi2, err, own = (x[~leaf] for x in (lo1, hi1, lo2, hi2, err, own))
         if not len(lo1):
             continue
@@ -219,6 +220,88 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS)
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+_SIGNED = "doc long, fp long, least array<long>, shingles array<int>"
+#: Least shingle hashes by which similar texts meet: two texts of Jaccard similarity s share none with a chance of (1 - s)**4.
+MEETING = 4
+#: Texts that meet in one bucket and are joined by one task; larger buckets are cut.
+MEETING_ROWS = 20_000
+
+
+def signature(text: str | None, n_words: int) -> tuple[int, list[int], np.ndarray]:
+    """Fingerprint, least shingle hashes and the sorted distinct shingles (32 bits each) of a whole text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, [], np.zeros(0, dtype=np.int32)
+    shingles = [b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))]
+    h = np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), dtype=">u8").astype(np.uint64))
+    ones = sum(np.unpackbits(h[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), _STEP))
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True), h[:MEETING].view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, similarity: float = 0.8) -> DataFrame:
+    """doc, keep of every row of ``docs`` (doc unique, text): keep is the least doc of its group of similar texts.
+
+    Equal texts are one group. Other texts meet where they share one of their least shingle hashes; in such a bucket the
+    trie join passes pairs of at most max_bits differing bits, and those of a Jaccard similarity of their shingles of at
+    least ``similarity`` are linked. At similarity 0.8 two texts differ in 10 bits on average and hardly ever in over 20.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t, n_words) for t in batch.column("text").to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for *_, s in found])].astype(np.int32)), pa.array(np.concatenate([s for *_, s in found]) if found else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([f for f, *_ in found], pa.int64()), pa.array([m for _, m, _ in found], pa.list_(pa.int64())), lists], ["doc", "fp", "least", "shingles"])
+
+    texts = written(docs.select("doc", F.xxhash64("text").alias("h"), F.md5("text").alias("m")), "text-hashes")
+    first = texts.groupBy("h", "m").agg(F.min("doc").alias("first"))
+    same = written(texts.join(first, ["h", "m"]).select("doc", "first"), "equal-texts")
+    signed = written(docs.select("doc", "text").mapInArrow(sign, _SIGNED), "signatures")
+    alone = same.where("doc = first").select("doc")
+    met = signed.select("doc", F.explode("least").alias("key")).join(alone, "doc", "left_semi")
+    sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / MEETING_ROWS).cast("int").alias("cuts"))
+    asked = met.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    asked = asked.select("doc", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("bucket"))
+    buckets = signed.join(asked, "doc").groupBy("bucket").agg(F.collect_list(F.struct("doc", "fp", "shingles")).alias("m")).select("m")
+    edges = buckets.mapInArrow(_verified(max_bits, similarity), "a long, b long")
+    roots = components(edges)
+    groups = same.join(roots, F.col("first") == F.col("node"), "left")
+    return groups.select("doc", F.coalesce("root", "first").alias("keep"))
+
+
+def _verified(max_bits: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column("m"):
+                flat = members.values
+                doc = flat.field("doc").to_numpy(zero_copy_only=False)
+                fp = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                lists = flat.field("shingles")
+                values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                order = np.argsort(fp, kind="stable")
+                sets = [values[ends[i] : ends[i + 1]] for i in order.tolist()]
+
+                def check(label, i, j, sets=sets):
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        s, t = sets[x], sets[y]
+                        if label[x] != label[y] and min(len(s), len(t)) >= similarity * max(len(s), len(t)) and jaccard(s, t) >= similarity:
+                            _settle(label, np.array([x]), np.array([y]))
+
+                label = trie_self_join(fp[order], np.zeros(len(order), dtype=np.int64), max_bits, settle=check)
+                doc = doc[order]
+                k = np.flatnonzero(label != np.arange(len(label)))
+                a.append(doc[k])
+                b.append(doc[label[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
+
+    return run
+
+
 def hex_of(fp) -> F.col:
     """16 lowercase hex digits of a long column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
