@@ -9,7 +9,7 @@ from millrace.plans.registry import register, table
 
 @register(
     "rel_pricing_summary",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base,
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
        count(*) AS n_rows FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'
        GROUP BY l_returnflag, l_linestatus""",
 )
@@ -19,5 +19,5 @@ def pricing_summary(spark, sf_dir):
         table(spark, sf_dir, "lineitem")
         .where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
         .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base"), F.count("*").alias("n_rows"))
+        .agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.count("*").alias("n_rows"))
     )
