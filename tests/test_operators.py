@@ -148,7 +148,8 @@ def test_chunks_hold(text, size):
     assert [c["chunk_index"] for c in chunks] == list(range(len(chunks)))
     for c in chunks:
         assert c["text"] and c["total_chunks"] == len(chunks) and c["end_char"] - c["start_char"] == len(c["text"])
-        assert len(c["text"]) <= size or c["text"].startswith("#") or "#" in c["text"]
+        # the overlap, one unit at least, stays even where it and the next unit together are over the size
+        assert len(c["text"]) <= 2 * size + 2 or "#" in c["text"]
 
 
 def test_chunk_structure():
