@@ -17,6 +17,7 @@ id unless all are null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -220,20 +221,39 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS)
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-_SIGNED = "doc long, fp long, least array<long>, shingles array<int>"
-#: Least shingle hashes by which similar texts meet: two texts of Jaccard similarity s share none with a chance of (1 - s)**4.
+_SIGNED = "doc long, fp long, least array<long>, prefix array<long>, shingles array<int>"
+#: Least shingle hashes by which most similar texts meet first; what they miss (a chance of (1 - s)**4 at similarity s) meets by prefixes.
 MEETING = 4
 #: Texts that meet in one bucket and are joined by one task; larger buckets are cut.
 MEETING_ROWS = 20_000
+#: Members of a block of texts with a prefix shingle in common, of which candidates are made.
+BLOCK_ROWS = 2_000
+#: Texts from which common shingles are found, and the most of these; they only set the order in which prefixes are read.
+SAMPLE, COMMON = 20_000, 100_000
 
 
-def signature(text: str | None, n_words: int) -> tuple[int, list[int], np.ndarray]:
-    """Fingerprint, least shingle hashes and the sorted distinct shingles (32 bits each) of a whole text."""
+def hashes(text: str | None, n_words: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a whole text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    shingles = [b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))] if words else []
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), dtype=">u8").astype(np.uint64))
+
+
+def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n hashes in an order that holds for all texts: by hash, and ``common`` ones
+    (sorted) last, by rank. Two sets of at least that similarity share a member of their prefixes."""
+    if not len(h):
+        return h
+    at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+    late = common[at] == h if len(common) else np.zeros(len(h), dtype=bool)
+    ordered = np.r_[h[~late], h[late][np.argsort(rank[at[late]])]] if late.any() else h
+    return ordered[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def signature(h: np.ndarray) -> tuple[int, list[int], np.ndarray]:
+    """Fingerprint, least shingle hashes and the sorted distinct shingles (32 bits each) of a whole text's ``hashes``."""
+    if not len(h):
         return 0, [], np.zeros(0, dtype=np.int32)
-    shingles = [b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))]
-    h = np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), dtype=">u8").astype(np.uint64))
     ones = sum(np.unpackbits(h[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), _STEP))
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True), h[:MEETING].view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
@@ -243,19 +263,42 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def _common(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (sorted) that several of some SAMPLE different texts have, and their ranks, rarest first."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(t, n_words).view(np.int64))], ["key"])
+
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").distinct()
+    counts = some.mapInArrow(shingled, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(keys) - order).astype(np.int64)
+
+
 def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, similarity: float = 0.8) -> DataFrame:
     """doc, keep of every row of ``docs`` (doc unique, text): keep is the least doc of its group of similar texts.
 
-    Equal texts are one group. Other texts meet where they share one of their least shingle hashes; in such a bucket the
-    trie join passes pairs of at most max_bits differing bits, and those of a Jaccard similarity of their shingles of at
-    least ``similarity`` are linked. At similarity 0.8 two texts differ in 10 bits on average and hardly ever in over 20.
+    Equal texts are one group. Texts of a Jaccard similarity of their shingles of at least ``similarity`` are linked. Most
+    are found where texts share one of their least shingle hashes and differ in at most max_bits bits: a quick first search.
+    All others meet by the prefixes of their shingles, which similar texts can't fail to share; pairs of which both already
+    are in one component aren't looked at again.
     """
+    common, rank = _common(docs, n_words)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(t, n_words) for t in batch.column("text").to_pylist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for *_, s in found])].astype(np.int32)), pa.array(np.concatenate([s for *_, s in found]) if found else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([f for f, *_ in found], pa.int64()), pa.array([m for _, m, _ in found], pa.list_(pa.int64())), lists], ["doc", "fp", "least", "shingles"])
+            all_hashes = [hashes(t, n_words) for t in batch.column("text").to_pylist()]
+            found = [signature(h) for h in all_hashes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array([f for f, *_ in found], pa.int64()), pa.array([m for _, m, _ in found], pa.list_(pa.int64())),
+                 _lists([prefix(h, common, rank, similarity).view(np.int64) for h in all_hashes], np.int64), _lists([s for *_, s in found], np.int32)],
+                ["doc", "fp", "least", "prefix", "shingles"],
+            )
 
     texts = written(docs.select("doc", F.xxhash64("text").alias("h"), F.md5("text").alias("m")), "text-hashes")
     first = texts.groupBy("h", "m").agg(F.min("doc").alias("first"))
@@ -266,13 +309,68 @@ def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, sim
     sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / MEETING_ROWS).cast("int").alias("cuts"))
     asked = met.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     asked = asked.select("doc", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("bucket"))
-    buckets = signed.join(asked, "doc").groupBy("bucket").agg(F.collect_list(F.struct("doc", "fp", "shingles")).alias("m")).select("m")
-    edges = buckets.mapInArrow(_verified(max_bits, similarity), "a long, b long")
-    roots = components(edges)
-    groups = same.join(roots, F.col("first") == F.col("node"), "left")
+    buckets = signed.select("doc", "fp", "shingles").join(asked, "doc").groupBy("bucket").agg(F.collect_list(F.struct("doc", "fp", "shingles")).alias("m")).select("m")
+    quick = components(buckets.mapInArrow(_verified(max_bits, similarity), "a long, b long"))
+    rooted = written(alone.join(quick, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root")), "quick-roots")
+    missed = written(_missed(signed, rooted, similarity), "missed-links")
+    if not missed.isEmpty():
+        quick = components(missed.unionAll(rooted.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b"))))
+    groups = same.join(quick, F.col("first") == F.col("node"), "left")
     return groups.select("doc", F.coalesce("root", "first").alias("keep"))
 
 
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
+
+
+def _missed(signed: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all similar texts of different roots (doc, root) that share a shingle of their prefixes."""
+    met = signed.select("doc", F.size("shingles").alias("n"), F.posexplode("prefix").alias("pos", "key")).join(rooted, "doc")
+    shared = met.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s")
+    shared = written(shared.select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cuts")), "shared-shingles")
+    asked = met.join(shared, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    asked = asked.groupBy("key", F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).agg(F.collect_list(F.struct("doc", "root", "n", "pos")).alias("m"))
+    pairs = asked.select("m").mapInArrow(_candidates(similarity), "a long, b long").distinct()
+    sets = signed.select("doc", "shingles")
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    return both.mapInArrow(_linked(similarity), "a long, b long")
+
+
+def _candidates(similarity: float):
+    """Pairs of different roots that can still be similar by their sizes and by what follows their shared shingle. The bound
+    is that of the first shared shingle, so a similar pair passes in that one's group at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("m"):
+                flat = members.values
+                doc, root, n, pos = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc", "root", "n", "pos"))
+                order = np.argsort(doc)
+                doc, root, n, pos = doc[order], root[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+                for i in range(len(doc) - 1):
+                    rest = slice(i + 1, None)
+                    need = np.ceil(similarity / (1 + similarity) * (n[i] + n[rest]) - 1e-6) - 1  # 32-bit shingles may hide one
+                    left = np.minimum(n[i] - pos[i], n[rest] - pos[rest])
+                    b = doc[rest][(root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1) & (left >= need)]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), doc[i])), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _linked(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for side in ("s", "t"):
+                lists = batch.column(side)
+                sides.append((lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()))
+            (s, x), (t, y) = sides
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard(s[x[i] : x[i + 1]], t[y[i] : y[i + 1]]) >= similarity for i in range(batch.num_rows)], pa.bool_()))
+
+    return run
+
+
 def _verified(max_bits: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,6 +67,27 @@ def test_cut_buckets_lose_no_link(spark, monkeypatch):
     assert {r.keep for r in simhash.similar_documents(docs).collect()} == {0}
 
 
+def test_pairs_that_share_no_least_hash_or_differ_in_many_bits_are_linked(spark):
+    # short texts at a similarity of exactly 0.8 (9 against 8 words) and long ones whose least hashes all differ
+    rng = random.Random(5)
+    found, n = [], 0
+    while len(found) < 4:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        a, b = simhash.signature(simhash.hashes(" ".join(words), 5)), simhash.signature(simhash.hashes(" ".join(words[:-1]), 5))
+        n += 1
+        if ((a[0] ^ b[0]) % 2**64).bit_count() > 20:
+            found.append((" ".join(words), " ".join(words[:-1])))
+    while len(found) < 6:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        least = set(simhash.signature(simhash.hashes(" ".join(words), 5))[1])
+        other = edited(" ".join(words), rng, 6)
+        if not least & set(simhash.signature(simhash.hashes(other, 5))[1]) and similar(" ".join(words), other):
+            found.append((" ".join(words), other))
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(found) for k, t in enumerate(p)], "doc long, text string")
+    got = {r.doc: r.keep for r in simhash.similar_documents(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
 def test_repeats_are_cut(spark, small):
     rows = [r for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(60).collect()]
     docs = spark.createDataFrame(rows, rows[0].__fields__ and spark.read.parquet(f"{small}/documents.parquet").schema)
