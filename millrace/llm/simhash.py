@@ -17,6 +17,7 @@ id unless all are null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import accumulate
@@ -92,6 +93,19 @@ def _product(lo1, n1, lo2, n2):
     return lo1[at] + k // n2[at], lo2[at] + k % n2[at]
 
 
+def _equal_leaf(label, bits, lo1, hi1, lo2, hi2, max_bits, settle) -> None:
+    """Joins two ranges of equal bits each: a member at a time with those that aren't linked to it yet."""
+    if np.bitwise_count(bits[lo1] ^ bits[lo2]) > max_bits:
+        return
+    for i in range(lo1, hi1):
+        first = max(lo2, i + 1) if lo1 == lo2 else lo2
+        j = first + np.flatnonzero(label[first:hi2] != label[i])
+        if len(j):
+            settle(label, np.full(len(j), i), j)
+        elif (label[lo1:hi1] == label[i]).all() and (label[lo2:hi2] == label[i]).all():
+            return
+
+
 def trie_self_join(bits: np.ndarray, group: np.ndarray, max_bits: int = MAX_BITS, small: int = 32, step: int = 200_000, settle=_settle) -> np.ndarray:
     """Component labels of ``bits`` (uint64, sorted within the sorted ``group``): members of a group that differ in at most
     max_bits bits are linked. Labels are indices into ``bits``. settle(label, i, j) joins the components of such pairs, or of
@@ -121,7 +135,11 @@ def trie_self_join(bits: np.ndarray, group: np.ndarray, max_bits: int = MAX_BITS
             continue
         leaf = (hi1 - lo1) * (hi2 - lo2) <= small
         if depth == 64:
-            leaf[:] = True
+            wide = ~leaf
+            for x in zip(lo1[wide], hi1[wide], lo2[wide], hi2[wide], strict=True):
+                _equal_leaf(label, bits, *x, max_bits, settle)
+            lo1, hi1, lo2, hi2, err, own = (x[leaf] for x in (lo1, hi1, lo2, hi2, err, own))
+            leaf = leaf[leaf]
         if leaf.any():
             i, j = _product(lo1[leaf], (hi1 - lo1)[leaf], lo2[leaf], (hi2 - lo2)[leaf])
             near = (np.bitwise_count(bits[i] ^ bits[j]) <= max_bits) & (i != j)
@@ -221,20 +239,25 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS)
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-_SIGNED = "doc long, fp long, least array<long>, prefix array<long>, shingles array<int>"
+_SIGNED = "doc long, same binary, fp long, least array<long>, prefix array<long>, shingles array<int>"
 #: Least shingle hashes by which most similar texts meet first; what they miss (a chance of (1 - s)**4 at similarity s) meets by prefixes.
 MEETING = 4
-#: Texts that meet in one bucket and are joined by one task; larger buckets are cut.
-MEETING_ROWS = 20_000
+#: Texts, and bytes of their shingles, that meet in one bucket and are joined by one task; larger buckets are cut.
+MEETING_ROWS, MEETING_BYTES = 20_000, 32 << 20
+#: Texts of which hashes are held at a time.
+SIGN_ROWS = 256
 #: Members of a block of texts with a prefix shingle in common, of which candidates are made.
 BLOCK_ROWS = 2_000
 #: Texts from which common shingles are found, and the most of these; they only set the order in which prefixes are read.
 SAMPLE, COMMON = 20_000, 100_000
 
 
-def hashes(text: str | None, n_words: int) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def hashes(words: list[bytes], n_words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a whole text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     shingles = [b" ".join(words[i : i + n_words]) for i in range(max(1, len(words) - n_words + 1))] if words else []
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), dtype=">u8").astype(np.uint64))
 
@@ -268,8 +291,9 @@ def _common(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(t, n_words).view(np.int64))], ["key"])
+            for at in range(0, batch.num_rows, SIGN_ROWS):
+                found = [hashes(words_of(t.as_py()), n_words).view(np.int64) for t in batch.column("text").slice(at, SIGN_ROWS)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["key"])
 
     step = max(1, docs.count() // SAMPLE)
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").distinct()
@@ -283,7 +307,7 @@ def _common(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, similarity: float = 0.8) -> DataFrame:
     """doc, keep of every row of ``docs`` (doc unique, text): keep is the least doc of its group of similar texts.
 
-    Equal texts are one group. Texts of a Jaccard similarity of their shingles of at least ``similarity`` are linked. Most
+    Texts of equal words, but for the case of A-Z and white space, are one group. Texts of a Jaccard similarity of their shingles of at least ``similarity`` are linked. Most
     are found where texts share one of their least shingle hashes and differ in at most max_bits bits: a quick first search.
     All others meet by the prefixes of their shingles, which similar texts can't fail to share; pairs of which both already
     are in one component aren't looked at again.
@@ -292,31 +316,39 @@ def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, sim
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_hashes = [hashes(t, n_words) for t in batch.column("text").to_pylist()]
-            found = [signature(h) for h in all_hashes]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([f for f, *_ in found], pa.int64()), pa.array([m for _, m, _ in found], pa.list_(pa.int64())),
-                 _lists([prefix(h, common, rank, similarity).view(np.int64) for h in all_hashes], np.int64), _lists([s for *_, s in found], np.int32)],
-                ["doc", "fp", "least", "prefix", "shingles"],
-            )
-
-    texts = written(docs.select("doc", F.xxhash64("text").alias("h"), F.md5("text").alias("m")), "text-hashes")
-    first = texts.groupBy("h", "m").agg(F.min("doc").alias("first"))
-    same = written(texts.join(first, ["h", "m"]).select("doc", "first"), "equal-texts")
+            for at in range(0, batch.num_rows, SIGN_ROWS):
+                part = batch.slice(at, SIGN_ROWS)
+                same, found, prefixes = [], [], []
+                for t in part.column("text"):
+                    words = words_of(t.as_py())
+                    h = hashes(words, n_words)
+                    same.append(hashlib.md5(b" ".join(words)).digest())
+                    found.append(signature(h))
+                    prefixes.append(prefix(h, common, rank, similarity).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), pa.array(same, pa.binary()), pa.array([f for f, *_ in found], pa.int64()), pa.array([m for _, m, _ in found], pa.list_(pa.int64())),
+                     _lists(prefixes, np.int64), _lists([s for *_, s in found], np.int32)],
+                    ["doc", "same", "fp", "least", "prefix", "shingles"],
+                )
+
     signed = written(docs.select("doc", "text").mapInArrow(sign, _SIGNED), "signatures")
+    texts = signed.select("doc", "same")
+    first = texts.groupBy("same").agg(F.min("doc").alias("first"))
+    same = written(texts.join(first, "same").select("doc", "first"), "equal-texts")
     alone = same.where("doc = first").select("doc")
-    met = signed.select("doc", F.explode("least").alias("key")).join(alone, "doc", "left_semi")
-    sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / MEETING_ROWS).cast("int").alias("cuts"))
-    asked = met.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    asked = asked.select("doc", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("bucket"))
+    met = signed.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("least").alias("key")).join(alone, "doc", "left_semi")
+    sizes = met.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
+    sizes = sizes.select("key", F.ceil(F.greatest(F.col("m") / MEETING_ROWS, F.col("n") * 4 / MEETING_BYTES)).cast("int").alias("cuts"))
+    # Each text is in one part of a bucket, dealt anew for each key; prefixes find what the parts keep from meeting.
+    asked = written(met.join(sizes, "key").select("doc", F.xxhash64("key", F.pmod(F.xxhash64("doc", "key"), F.col("cuts"))).alias("bucket")), "meetings")
     buckets = signed.select("doc", "fp", "shingles").join(asked, "doc").groupBy("bucket").agg(F.collect_list(F.struct("doc", "fp", "shingles")).alias("m")).select("m")
     quick = components(buckets.mapInArrow(_verified(max_bits, similarity), "a long, b long"))
     rooted = written(alone.join(quick, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root")), "quick-roots")
     missed = written(_missed(signed, rooted, similarity), "missed-links")
-    if not missed.isEmpty():
-        quick = components(missed.unionAll(rooted.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b"))))
-    groups = same.join(quick, F.col("first") == F.col("node"), "left")
-    return groups.select("doc", F.coalesce("root", "first").alias("keep"))
+    from_, to = (rooted.select(F.col("doc").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    merged = components(missed.join(from_, "a").join(to, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    groups = same.join(rooted.select(F.col("doc").alias("first"), "root"), "first").join(merged.toDF("root", "least"), "root", "left")
+    return groups.select("doc", F.coalesce("least", "root").alias("keep"))
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -325,13 +357,15 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
 
 def _missed(signed: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
     """a, b: all similar texts of different roots (doc, root) that share a shingle of their prefixes."""
-    met = signed.select("doc", F.size("shingles").alias("n"), F.posexplode("prefix").alias("pos", "key")).join(rooted, "doc")
+    known = written(signed.select("doc", F.size("shingles").alias("n"), "prefix").join(rooted, "doc"), "prefixes")
+    met = known.select("doc", "root", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = met.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s")
     shared = written(shared.select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cuts")), "shared-shingles")
     asked = met.join(shared, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     asked = asked.groupBy("key", F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).agg(F.collect_list(F.struct("doc", "root", "n", "pos")).alias("m"))
-    pairs = asked.select("m").mapInArrow(_candidates(similarity), "a long, b long").distinct()
-    sets = signed.select("doc", "shingles")
+    pairs = written(asked.select("m").mapInArrow(_candidates(similarity), "a long, b long").distinct(), "candidates")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    sets = written(signed.select("doc", "shingles").join(wanted, "doc"), "wanted-shingles")
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     return both.mapInArrow(_linked(similarity), "a long, b long")
 

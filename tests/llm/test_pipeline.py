@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -67,27 +68,66 @@ def test_cut_buckets_lose_no_link(spark, monkeypatch):
     assert {r.keep for r in simhash.similar_documents(docs).collect()} == {0}
 
 
+def signed(text):
+    return simhash.signature(simhash.hashes(simhash.words_of(text), 5))
+
+
 def test_pairs_that_share_no_least_hash_or_differ_in_many_bits_are_linked(spark):
     # short texts at a similarity of exactly 0.8 (9 against 8 words) and long ones whose least hashes all differ
     rng = random.Random(5)
     found, n = [], 0
     while len(found) < 4:
         words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
-        a, b = simhash.signature(simhash.hashes(" ".join(words), 5)), simhash.signature(simhash.hashes(" ".join(words[:-1]), 5))
+        a, b = signed(" ".join(words)), signed(" ".join(words[:-1]))
         n += 1
         if ((a[0] ^ b[0]) % 2**64).bit_count() > 20:
             found.append((" ".join(words), " ".join(words[:-1])))
     while len(found) < 6:
         words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        least = set(simhash.signature(simhash.hashes(" ".join(words), 5))[1])
+        least = set(signed(" ".join(words))[1])
         other = edited(" ".join(words), rng, 6)
-        if not least & set(simhash.signature(simhash.hashes(other, 5))[1]) and similar(" ".join(words), other):
+        if not least & set(signed(other)[1]) and similar(" ".join(words), other):
             found.append((" ".join(words), other))
     docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(found) for k, t in enumerate(p)], "doc long, text string")
     got = {r.doc: r.keep for r in simhash.similar_documents(docs).collect()}
     assert got == {i: i - i % 2 for i in range(12)}
 
 
+def test_case_and_white_space_make_no_other_text(spark, monkeypatch):
+    def none(*_):
+        def run(batches):
+            for batch in batches:
+                assert not batch.num_rows, "equal words must not be compared"
+                yield from ()
+
+        return run
+
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text.title() if i % 2 else text.replace(" ", " " * (1 + i))) for i in range(20)], "doc long, text string")
+    monkeypatch.setattr(simhash, "_verified", none)
+    assert {r.keep for r in simhash.similar_documents(docs).collect()} == {0}
+
+
+def test_equal_fingerprints_take_no_square_of_pairs():
+    n, asked, most = 20000, 0, 0
+
+    def check(label, i, j):
+        nonlocal asked, most
+        asked, most = asked + len(i), max(most, len(i))
+        simhash._settle(label, i, j)
+
+    label = simhash.trie_self_join(np.full(n, 7, dtype=np.uint64), np.zeros(n, dtype=np.int64), 20, settle=check)
+    assert set(label.tolist()) == {0} and most < n and asked < 2 * n
+
+
+def test_buckets_cut_by_bytes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEETING_BYTES", 8000)
+    rng = random.Random(9)
+    base = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, edited(base, rng, 3)) for i in range(60)], "doc long, text string")
+    assert {r.keep for r in simhash.similar_documents(docs).collect()} == {0}
+
+
 def test_repeats_are_cut(spark, small):
     rows = [r for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(60).collect()]
     docs = spark.createDataFrame(rows, rows[0].__fields__ and spark.read.parquet(f"{small}/documents.parquet").schema)
