@@ -20,8 +20,8 @@ def byte_tokenizer(text: str) -> list[int]:
     return list(text.encode("utf-8"))
 
 
-def encoded(turns: list[tuple[str, str, bool]], tokenizer: Tokenizer, longest: int, kind: str) -> dict | None:
-    """A row of (role, text, trained) turns cut at ``longest`` ids; None if nothing that is trained is left."""
+def encoded(turns: list[tuple[str, str, bool]], tokenizer: Tokenizer, longest: int | None, kind: str) -> dict | None:
+    """A row of (role, text, trained) turns cut at ``longest`` ids (None: whole); None if nothing that is trained is left."""
     ids: list[int] = []
     mask: list[int] = []
     for role, text, trained in turns:
@@ -32,10 +32,10 @@ def encoded(turns: list[tuple[str, str, bool]], tokenizer: Tokenizer, longest: i
     cut = mask[:longest]
     if 1 not in cut:
         return None
-    return {"kind": kind, "tokens": ids[:longest], "loss_mask": cut, "n_tokens": len(cut), "n_prompt_tokens": prompt, "n_completion_tokens": sum(cut), "n_trainable_tokens": sum(cut), "truncated": len(ids) > longest}
+    return {"kind": kind, "tokens": ids[:longest], "loss_mask": cut, "n_tokens": len(cut), "n_prompt_tokens": prompt, "n_completion_tokens": sum(cut), "n_trainable_tokens": sum(cut), "truncated": len(cut) < len(ids)}
 
 
-def _rows(record: dict, tokenizer: Tokenizer, longest: int) -> list[dict]:
+def _rows(record: dict, tokenizer: Tokenizer, longest: int | None) -> list[dict]:
     get = lambda k: (record.get(k) or "").strip()
     messages = record.get("messages")
     if messages is not None:
@@ -49,7 +49,7 @@ def _rows(record: dict, tokenizer: Tokenizer, longest: int) -> list[dict]:
     return [x for x in out if x]
 
 
-def token_rows(records: DataFrame, sample_id: str, tokenizer: Tokenizer = byte_tokenizer, longest: int = 4096) -> DataFrame:
+def token_rows(records: DataFrame, sample_id: str, tokenizer: Tokenizer = byte_tokenizer, longest: int | None = 8192) -> DataFrame:
     """sample_id and the columns of ROWS: up to one row for an instruction or chat record, up to two for a preference record."""
     fields = [c for c in ("instruction", "input", "output", "prompt", "chosen", "rejected", "messages") if c in records.columns]
 

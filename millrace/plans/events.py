@@ -222,6 +222,6 @@ def point_ids(spark, sf_dir):
 
 @register("token_mask_rows")
 def token_mask_rows(spark, sf_dir):
-    """UD-10, UD-11, CP-11: token rows of all dialogues with byte ids. Invariants are tested."""
-    rows = training_tokens.token_rows(_messages(spark, sf_dir), "conv_id")
+    """UD-10, UD-11, CP-11: token rows of all whole dialogues with byte ids. Invariants are tested."""
+    rows = training_tokens.token_rows(_messages(spark, sf_dir), "conv_id", longest=None)
     return rows.select("conv_id", "kind", "n_tokens", "n_prompt_tokens", "n_completion_tokens", "n_trainable_tokens", "truncated")

@@ -13,6 +13,7 @@ from millrace.functions import json_fields as J
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import chunking, code_units, export, html_markdown, judging, lines, ranking, spans, tables, training_tokens, vector_search
+from millrace.plans import registry
 from millrace.sources import records
 from millrace.streaming import incremental
 
@@ -172,6 +173,16 @@ def test_token_rows(spark):
     assert sorted((r.id, r.kind) for r in training_tokens.token_rows(dpo, "id").collect()) == [("p", "dpo_chosen"), ("p", "dpo_rejected"), ("r", "dpo_chosen")]
 
 
+def test_token_query_keeps_whole_dialogues(spark, tmp_path):
+    rows = [("a", 0, "user", "q" * 9000), ("a", 1, "assistant", "x" * 9000), ("b", 0, "user", "q"), ("b", 1, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in registry.queries()["token_mask_rows"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"} and got["a"].n_completion_tokens == 9001 and not got["a"].truncated
+    sft = spark.createDataFrame([("s", "ask", "", "z" * 9000)], "id string, instruction string, input string, output string")
+    cut = training_tokens.token_rows(sft, "id").first()
+    assert cut.truncated and cut.n_tokens == 8192
+
+
 def test_spans(spark):
     def at(text, quote):
         return tuple(one(spark, spans.located(F.col("t"), F.col("q")), t=text, q=quote))
