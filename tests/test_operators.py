@@ -161,6 +161,14 @@ def test_chunk_structure():
     assert len(chunking.chunk_text("Word here. " * 2000, 100, 10, 3)) == 3
 
 
+def test_long_texts_are_chunked_whole(spark, tmp_path):
+    text = " ".join(f"Sentence {i} has these words." for i in range(30000))
+    chunks = chunking.chunk_text(text)
+    assert len(chunks) > 500 and chunks[-1]["text"].endswith("Sentence 29999 has these words.")
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.queries()["chunk_count"](spark, str(tmp_path)).first().chunks == len(chunks)
+
+
 def test_token_rows(spark):
     sft = spark.createDataFrame([("s1", "ask", "", "answer"), ("s2", "ask", "", " ")], "id string, instruction string, input string, output string")
     row = training_tokens.token_rows(sft, "id").collect()
