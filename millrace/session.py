@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "part") -> DataFrame:
+#: Folders of tables that :func:`written` made inside open ``scratch`` blocks, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame, label: str = "part", keep: bool = False) -> DataFrame:
     """Writes ``df`` once into the shared folder and returns a reader of it.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. Inside a ``scratch`` block the table goes
+    when the block ends, unless ``keep`` is set: then it belongs to the block around.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    level = len(_OPEN) - (2 if keep else 1)
+    if level >= 0:
+        _OPEN[level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of intermediate tables."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside are deleted at the end; what is still needed is written with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        removed(spark, _OPEN.pop())
