@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, html_text, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
@@ -47,20 +44,8 @@ def op5_simhash(spark, sf_dir):
 def op6_suffix_dedup(spark, sf_dir):
     """What all documents lose to byte strings that start earlier."""
 
-    def digests(parts):
-        for pdf in parts:
-            rows = []
-            for text, spans in zip(pdf.text, pdf.spans, strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                joined = suffix_dedup.join_spans((s["start"], s["stop"]) for s in spans) if spans is not None else []
-                kept = suffix_dedup.remaining(data, joined)
-                rows.append((len(data), len(data) - len(kept), len(joined), hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", pdf.doc_id.array)
-            yield out
-
     docs = suffix_dedup.keyed_documents(_table(spark, sf_dir, "documents"))
-    return suffix_dedup.with_spans(docs).mapInPandas(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return suffix_dedup.digests(suffix_dedup.with_spans(docs))
 
 
 def op7_chat_formatting(spark, sf_dir):

@@ -6,13 +6,14 @@ earlier start) is marked. Matches never cross documents; strings are judged on t
 1. Anchors. Of the ``gram``-byte strings inside a ``length``-byte string the one of least hash (the leftmost of ties) is its
    anchor, so equal strings have equal anchors at equal offsets. An anchor's context is all that such strings can hold: up
    to ``length - gram`` bytes on its left and ``length`` bytes from it on. About one byte in 35 is an anchor.
-2. Anchors are dealt by their hash. A task first settles what it has seen twice itself: of equal contexts only the earliest
-   is sent on, the others are covered. Hashes with very many different contexts are not dealt as contexts; each of their
+2. Anchors are dealt by their hash. Equal contexts are one leaf of the interval tree with all their occurrences; they are
+   told by the 128 bits of two hashes, first inside each task, so that only the earliest is sent on, then where a hash meets.
+   All but the earliest are covered. Hashes with very many different contexts are not dealt as contexts; each of their
    strings of ``length`` bytes is dealt by its own hash instead, of which again only the first per task is sent on.
-3. Equal contexts of one hash: all but the earliest are covered. Hashes with several contexts left fetch the contexts' bytes
-   and form a bucket: the suffixes that start at its anchors are sorted, their common-prefix intervals are found by a stack
-   scan, and inside an interval left contexts tell which occurrences extend alike to the left. Every interval that is left
-   diverse gives maximal repeats of at least ``length`` bytes with all their occurrences; all but the earliest are covered.
+3. Hashes with several leaves fetch the contexts' bytes and form a bucket: the suffixes that start at its anchors are sorted,
+   their common-prefix intervals are found by a stack scan, and inside an interval left contexts tell which occurrences extend
+   alike to the left. Every interval that is left diverse gives maximal repeats of at least ``length`` bytes with all their
+   occurrences; all but the earliest are covered.
 
 Defined results: null and empty texts have nothing to remove; rows of one doc_id count as documents in the order of their
 texts (of equal rows one is the first); a null doc_id comes before all others; an empty table gives no rows; other columns
@@ -21,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,11 @@ from millrace.session import written
 
 LENGTH = 100
 GRAM = 32
-#: Different contexts of one hash beyond which its strings are dealt one by one: the larger of this and a share of all anchors.
-HOT_CONTEXTS, HOT_SHARE = 4096, 1 / 20_000
-#: Anchors that a task holds before it settles them, and contexts of one hash among them that make it a candidate for hot.
+#: Different contexts of one hash beyond which its strings are dealt one by one, and the most such hashes (8 MB): the most
+#: frequent ones, so that any other has at most 1 / MAX_HOT of all anchors.
+HOT_CONTEXTS, MAX_HOT = 4096, 1_000_000
+#: Anchors that a task holds before it settles them. Contexts of one hash among them are counted one by one from HELD_HOT on;
+#: fewer are counted by a sample of one context in HELD_HOT, so a hash that is thinly spread over many tasks is found as well.
 HELD, HELD_HOT = 1_000_000, 16
 _CHUNK = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -203,7 +207,9 @@ def _scan(length: int, gram: int, hot: np.ndarray | None):
             if len(key):
                 at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 n = np.diff(np.r_[at, len(key)])
-                many = n >= HELD_HOT
+                drawn = np.add.reduceat((ctx.view(np.uint64) % np.uint64(HELD_HOT) == 0).astype(np.int64), at)
+                n = np.where(n >= HELD_HOT, n, HELD_HOT * drawn)
+                many = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(key[at][many]), pa.array(n[many])], ["key", "n"])
             return
         for a in range(0, len(key), 100_000):
@@ -376,8 +382,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     seen = texts.mapInArrow(_scan(length, gram, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = texts.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     anchors = 2 * total // (length - gram + 2)
-    limit = max(HOT_CONTEXTS, anchors * HOT_SHARE)
-    hot = np.sort(np.array([r.key for r in seen.where(F.col("n") >= limit).select("key").collect()], dtype=np.int64))  # 1 / HOT_SHARE at most
+    most = seen.where(F.col("n") >= HOT_CONTEXTS).orderBy(F.desc("n"), "key").limit(MAX_HOT).select("key")
+    hot = np.sort(most.toArrow().column("key").to_numpy().astype(np.int64))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), anchors // 2_000_000)
     met = texts.mapInArrow(_scan(length, gram, hot), _ANCHORS).repartition(parts, "key").mapInArrow(_meet, _FOUND)
     met = written(met, "anchors-met")
@@ -426,3 +432,45 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
         if e > s:
             out.append((s, e))
     return out
+
+
+def _spans_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, list[tuple[int, int]]]]:
+    """Bytes and joined spans of each row of an Arrow batch (text, spans); None for a null text."""
+    for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+        yield text.as_py(), join_spans((s["start"], s["stop"]) for s in spans.as_py() or ())
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``docs`` (doc_id, text, spans). Ids stay Arrow columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data, joined in _spans_of(batch):
+                kept = remaining(data or b"", joined)
+                rows.append((len(data or b""), len(data or b"") - len(kept), len(joined), hashlib.sha256(kept).hexdigest()))
+            n, gone, spans, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(run, schema)
+
+
+def without_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, spans, ...) with the text cut to the characters that no span touches, and ``cut``: whether it has spans;
+    a null text stays null. All other columns stay as they are."""
+    others = [c for c in docs.columns if c not in ("text", "spans")]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for data, joined in _spans_of(batch):
+                texts.append(None if data is None else remaining(data, whole_characters(data, joined)))
+            columns = [batch.column(c) for c in others]
+            cut = pa.array([s.is_valid for s in batch.column("spans")], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()), cut], [*others, "text", "cut"])
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "text binary, cut boolean"])
+    return docs.select(*others, F.col("text").cast("binary").alias("text"), "spans").mapInArrow(run, schema).withColumn("text", F.col("text").cast("string"))
