@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import packing, simhash, suffix_dedup, toxicity
-from millrace.session import written
+from millrace.session import scratch, written
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,20 +38,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the characters that lie in byte strings that start earlier; documents of which nothing is left go."""
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            texts = []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-                if text is not None and spans is not None:
-                    data = text.encode("utf-8", "surrogatepass")
-                    joined = suffix_dedup.join_spans((s["start"], s["stop"]) for s in spans)
-                    text = suffix_dedup.remaining(data, suffix_dedup.whole_characters(data, joined)).decode("utf-8", "surrogatepass")
-                texts.append(text)
-            yield pdf.assign(text=pd.Series(texts, dtype=object, index=pdf.index), cut=pdf["spans"].notna())[["doc_id", "text", "lang", "source", "n_chars", "cut"]]
-
     keyed = _with_key(docs)
     spans = suffix_dedup.repeated_spans(keyed.select("doc", F.coalesce("text", F.lit("")).alias("text")))
-    found = keyed.join(spans, "doc", "left").drop("doc").mapInPandas(cut, "doc_id long, text string, lang string, source string, n_chars long, cut boolean")
+    found = suffix_dedup.without_spans(keyed.join(spans, "doc", "left").drop("doc"))
     left = found.where(~(F.col("cut") & (F.col("text") == "")))
     return left.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(DOCUMENTS)
 
@@ -74,7 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written once and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
