@@ -1,32 +1,37 @@
 """Exact top-k search by distributed histogram selection.
 
-Every query is scored against every candidate, block by block, once per round. A round counts, for each query, the scores
-in equal bins of the range where its k-th score must lie; the counts of all blocks are summed, and the bin of the k-th
-score becomes the next range. When few enough scores are left at or above the range, they are returned and ranked.
+Rows are dealt once into parts. In every round the queries, in blocks, go to all parts, and each part gives one histogram a
+query: how many of its scores fall into equal bins of the range where the query's k-th score must lie. The sums of the parts
+tell the bin of the k-th score, which becomes the next range. When few enough scores are left at or above the range, they are
+returned and ranked.
 
 Scores are integers: components become floor(scale * x). Products are summed in doubles while no partial sum can reach
 2**53, and in Python integers beyond that.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a shorter vector counts as
-padded with zeros; ties go to the smaller id; rows of one id count separately (a query's own id is never its candidate);
-a null id takes no part; an empty table gives no rows; other columns are ignored.
+padded with zeros; scores beyond 64 bits count as the least or greatest 64-bit integer; ties go to the smaller id; rows of
+one id count separately (a query's own id is never its candidate); a null id takes no part; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import written
 
-#: Vectors in a block of queries and of candidates: a pair of blocks makes at most their product of scores at a time.
-QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Rows in a part at most, about, and queries that visit it at a time: what a task holds.
+PART_ROWS, QUERY_BLOCK = 131_072, 8192
+#: Rows and queries that are multiplied at a time.
+ROW_STEP, QUERY_STEP = 2048, 1024
 #: Bins of a round's histogram.
 BINS = 64
 #: Selection stops when at most this many scores a query are at or above its range.
 ENOUGH = 64
+_SPAN = np.iinfo(np.int64)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -34,28 +39,46 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256)
     x = F.col(vec_col)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     ok = df.where(x.isNotNull() & F.col(id_col).isNotNull() & ~F.coalesce(bad, F.lit(False)))
-    return ok.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
+    whole = lambda c: F.when(F.abs(c) < F.lit(2.0**53), F.floor(c).cast("double")).otherwise(c)  # noqa: E731  larger doubles are integers
+    return ok.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: whole(c.cast("double") * scale)).alias("v"))
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    lists = vectors.combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(n), width))
+    out[np.arange(width)[None, :] < n[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def _scores(q: pd.Series, c: pd.Series) -> np.ndarray:
-    width = max(max(map(len, q), default=0), max(map(len, c), default=0), 1)
-    a, b = _matrix(q, width), _matrix(c, width)
-    if width * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2.0**53:
+def _width(*tables: pa.Table) -> int:
+    return max([1, *(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max(initial=0)) for t in tables)])
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    most = np.finfo(np.float64).max
+    if a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    exact = [[sum(int(x) * int(y) for x, y in zip(u, w, strict=True)) for w in b] for u in a]
-    return np.array(exact, dtype=np.int64).reshape(len(a), len(b))  # beyond 64 bits: OverflowError
+    a, b = ([[int(min(max(x, -most), most)) for x in u] for u in m] for m in (a, b))
+    exact = [[min(max(sum(x * y for x, y in zip(u, w, strict=True)), _SPAN.min), _SPAN.max) for w in b] for u in a]
+    return np.array(exact, dtype=np.int64).reshape(len(a), len(b))
+
 
+def _scores(queries: pa.Table, rows: pa.Table):
+    """(positions of some queries, ids of some rows, their scores, which of the scores count) over all of both."""
+    width = _width(queries, rows)
+    a, b = _matrix(queries.column("v"), width), _matrix(rows.column("v"), width)
+    qid, rid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+    for i in range(0, len(a), QUERY_STEP):
+        at = np.arange(i, min(len(a), i + QUERY_STEP))
+        for j in range(0, len(b), ROW_STEP):
+            ids = rid[j : j + ROW_STEP]
+            yield at, ids, _products(a[at], b[j : j + ROW_STEP]), qid[at][:, None] != ids[None, :]
 
-def _blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-    """Copies each row to every block of the other side: the pairs of blocks are the groups, never pairs of rows."""
-    return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+def _answer(queries: pa.Table, at: np.ndarray, **columns: pa.Array) -> pa.Table:
+    """Columns of queries at positions, beside others."""
+    return pa.table({"id": queries.column("id").take(pa.array(at)), "copy_no": queries.column("copy_no").take(pa.array(at)), **columns})
 
 
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
@@ -63,71 +86,90 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     spark = rows.sparkSession
     queries, rows = written(queries, "topk-queries"), written(rows, "topk-rows")
     n_q, n_r = queries.count(), rows.count()
-    n_qb, n_rb = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_r // ROW_BLOCK))
-    dealt = _blocks(rows, "rb", n_rb, "qb", n_qb).groupBy("qb", "rb")
-
-    def pairs(state: DataFrame):
-        return _blocks(state, "qb", n_qb, "rb", n_rb).groupBy("qb", "rb").cogroup(dealt)
-
-    def scored(q: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The scores of a pair of blocks, and which of them count."""
-        return _scores(q.v, r.v), q.id.to_numpy()[:, None] != r.id.to_numpy()[None, :]
-
-    def ends(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        s, counted = scored(q, r)
-        span = np.iinfo(np.int64)
-        lo = np.where(counted, s, span.max).min(1, initial=span.max)
-        hi = np.where(counted, s, span.min).max(1, initial=span.min)
-        n = counted.sum(1)
-        return pd.DataFrame({"id": q.id, "copy_no": q.copy_no, "lo": lo, "hi": hi, "n": n})[n > 0]
-
-    def counts(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        s, counted = scored(q, r)
-        lo, hi, step = (q[c].to_numpy()[:, None] for c in ("lo", "hi", "step"))
-        inside = counted & (s >= lo) & (s <= hi)
-        bins = np.where(inside, (s - lo) // step, 0)
-        flat = np.bincount((np.arange(len(q))[:, None] * BINS + bins)[inside], minlength=len(q) * BINS)
-        at = np.flatnonzero(flat)
-        return pd.DataFrame({"id": q.id.to_numpy()[at // BINS], "copy_no": q.copy_no.to_numpy()[at // BINS], "bin": at % BINS, "m": flat[at]})
-
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        s, counted = scored(q, r)
-        qi, ri = np.nonzero(counted & (s >= q.lo.to_numpy()[:, None]))
-        score, vec = s[qi, ri], r.id.to_numpy()[ri]
-        order = np.lexsort((vec, -score, qi))
-        qi, score, vec = qi[order], score[order], vec[order]
-        # Of many ties a block passes on the k that can still win.
-        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        keep = place < k
-        return pd.DataFrame({"id": q.id.to_numpy()[qi], "copy_no": q.copy_no.to_numpy()[qi], "vec_id": vec, "score": score})[keep]
+    parts = max(1, min(n_r, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_r // PART_ROWS))))
+    blocks = max(1, -(-n_q // QUERY_BLOCK))
+    number = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Pairs of a part and a query block are the groups, never pairs of rows.
+    dealt = rows.withColumn("part", number(1, parts)).withColumn("block", every(blocks)).groupBy("part", "block")
+
+    def visits(state: DataFrame):
+        return state.withColumn("block", number(2, blocks)).withColumn("part", every(parts)).groupBy("part", "block").cogroup(dealt)
+
+    def ends(q: pa.Table, r: pa.Table) -> pa.Table:
+        lo, hi, n = np.full(len(q), _SPAN.max), np.full(len(q), _SPAN.min), np.zeros(len(q), dtype=np.int64)
+        for at, _, s, counted in _scores(q, r):
+            lo[at] = np.minimum(lo[at], np.where(counted, s, _SPAN.max).min(1, initial=_SPAN.max))
+            hi[at] = np.maximum(hi[at], np.where(counted, s, _SPAN.min).max(1, initial=_SPAN.min))
+            n[at] += counted.sum(1)
+        some = np.flatnonzero(n)
+        return _answer(q, some, lo=pa.array(lo[some]), hi=pa.array(hi[some]), n=pa.array(n[some]))
+
+    def counts(q: pa.Table, r: pa.Table) -> pa.Table:
+        lo, hi, step = (q.column(c).to_numpy() for c in ("lo", "hi", "step"))
+        bins = np.zeros((len(q), BINS), dtype=np.int64)
+        for at, _, s, counted in _scores(q, r):
+            inside = counted & (s >= lo[at][:, None]) & (s <= hi[at][:, None])
+            # Unsigned, so that a range of all 64 bits has no overflow.
+            place = (s.view(np.uint64) - lo[at].view(np.uint64)[:, None]) // step[at].view(np.uint64)[:, None]
+            flat = (np.arange(len(at))[:, None] * BINS + place.astype(np.int64))[inside]
+            bins[at] += np.bincount(flat, minlength=len(at) * BINS).reshape(-1, BINS)
+        some = np.flatnonzero(bins.any(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BINS), pa.array(bins[some].ravel()))
+        return _answer(q, some, bins=lists)
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        lo = q.column("lo").to_numpy()
+        held = [np.zeros(0, dtype=np.int64)] * 3
+        for at, ids, s, counted in _scores(q, r):
+            x, y = np.nonzero(counted & (s >= lo[at][:, None]))
+            found = [np.r_[a, b] for a, b in zip(held, (at[x], s[x, y], ids[y]), strict=True)]
+            order = np.lexsort((found[2], ~found[1], found[0]))  # ~s falls as s rises
+            found = [c[order] for c in found]
+            # Of many ties a part passes on the k that can still win.
+            keep = np.arange(len(order)) - np.searchsorted(found[0], found[0]) < k
+            held = [c[keep] for c in found]
+        return _answer(q, held[0], vec_id=pa.array(held[2]), score=pa.array(held[1]))
 
     # Repeated query rows are told apart by their number within the id.
     numbered = queries.withColumn("copy_no", F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("long"))
     key = ["id", "copy_no"]
-    span = pairs(numbered).applyInPandas(ends, "id long, copy_no long, lo long, hi long, n long").groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("left"))
-    step = F.expr(f"(hi - lo) div {BINS} + 1")
+    span = visits(numbered).applyInArrow(ends, "id long, copy_no long, lo long, hi long, n long").groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("left"))
+    # A bin's width; the division comes first where the whole range may not fit 64 bits.
+    step = F.expr(f"CASE WHEN lo >= 0 OR hi < 0 OR (hi < {2**62} AND lo > -{2**62}) THEN (hi - lo) div {BINS} + 1 ELSE hi div {BINS} - lo div {BINS} + 2 END")
     # above: the number of scores over the range; left: of those at or over its lower end.
     state = written(numbered.join(span, key).withColumns({"above": F.lit(0).cast("long"), "step": step}), "topk-state")
     undecided = (F.col("left") > max(ENOUGH, k)) & (F.col("hi") > F.col("lo"))
     while not state.where(undecided).isEmpty():
-        hist = pairs(state.where(undecided)).applyInPandas(counts, "id long, copy_no long, bin long, m long").groupBy(*key, "bin").agg(F.sum("m").alias("m"))
-        hist = hist.withColumn("upto", F.sum("m").over(Window.partitionBy(*key).orderBy(F.desc("bin"))))  # BINS rows a query
-        total = F.col("above") + F.col("upto")
-        lo, moved = F.col("lo") + F.col("bin") * F.col("step"), F.col("bin").isNotNull()
-        state = (
-            state.join(hist, key, "left")
-            .where(~moved | ((total >= k) & (total - F.col("m") < k)))  # the bin that holds the k-th score
-            .select(
-                *key,
-                "v",
-                F.when(moved, lo).otherwise(F.col("lo")).alias("lo"),
-                F.when(moved, F.least("hi", lo + F.col("step") - 1)).otherwise(F.col("hi")).alias("hi"),
-                F.when(moved, total).otherwise(F.col("left")).alias("left"),
-                F.when(moved, total - F.col("m")).otherwise(F.col("above")).alias("above"),
-            )
-            .withColumn("step", step)
-        )
-        state = written(state, "topk-state")
-    found = pairs(state).applyInPandas(best, "id long, copy_no long, vec_id long, score long")
+        sums = visits(state.where(undecided)).applyInArrow(counts, "id long, copy_no long, bins array<long>")
+        sums = sums.groupBy(*key).agg(F.array(*[F.sum(F.col("bins")[i]) for i in range(BINS)]).alias("bins"))
+        state = written(_narrowed(state.join(sums, key, "left"), k).withColumn("step", step), "topk-state")
+    found = visits(state).applyInArrow(best, "id long, copy_no long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _narrowed(state: DataFrame, k: int) -> DataFrame:
+    """The state with its range narrowed to the bin of the k-th score; queries without ``bins`` stay as they are."""
+    # From the highest bin down: the first one with which k scores are reached.
+    at = F.aggregate(
+        F.reverse("bins"),
+        F.struct(F.col("above").alias("above"), F.lit(BINS).alias("bin"), F.lit(None).cast("long").alias("m")),
+        lambda acc, m: F.when(acc["above"] + F.coalesce(acc["m"], F.lit(0).cast("long")) >= k, acc).otherwise(
+            F.struct((acc["above"] + F.coalesce(acc["m"], F.lit(0).cast("long"))).alias("above"), (acc["bin"] - 1).alias("bin"), m.alias("m"))
+        ),
+    )
+    moved = F.col("bins").isNotNull()
+    state = state.withColumn("at", at)
+    wide = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  sums can pass 64 bits on the way
+    low = wide("lo") + wide("at.bin") * wide("step")
+    lo, hi = low.cast("long"), F.least(wide("hi"), low + wide("step") - 1).cast("long")
+    return state.select(
+        "id",
+        "copy_no",
+        "v",
+        F.when(moved, lo).otherwise(F.col("lo")).alias("lo"),
+        F.when(moved, hi).otherwise(F.col("hi")).alias("hi"),
+        F.when(moved, F.col("at.above") + F.col("at.m")).otherwise(F.col("left")).alias("left"),
+        F.when(moved, F.col("at.above")).otherwise(F.col("above")).alias("above"),
+    )
