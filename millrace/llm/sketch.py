@@ -28,6 +28,8 @@ WORDS = 5
 #: Bytes of text whose shingles are hashed at a time, and bytes of text in a partition of neighbouring documents.
 _CHUNK = 1 << 20
 RANGE_BYTES = 32 << 20
+#: Ranges of neighbouring ids at most, and ids drawn for each to find its bounds.
+MAX_RANGES, SAMPLE = 65_536, 16
 _FIRST = -(2**63)
 _BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xA24BAED4963EE407)
 _SPACE = np.zeros(256, dtype=bool)
@@ -139,21 +141,36 @@ def half_edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _cuts(rows: DataFrame, total: int, n: int) -> np.ndarray:
+    """At most n - 1 ids that divide the rows into about equal ranges, from ids drawn by their hash: SAMPLE a range are expected."""
+    part = min(1.0, n * SAMPLE / max(1, total))
+    drawn = rows.where(F.pmod(F.xxhash64("d", F.lit(17)), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))).select("d")
+    ids = np.sort(drawn.toArrow().column("d").to_numpy().astype(np.int64))
+    return np.unique(ids[[len(ids) * i // n for i in range(1, n)]]) if len(ids) else ids
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """doc_id, text of every row, sorted by (doc_id, text) in partitions of neighbouring ids; each partition ends with a
-    copy (guest) of the first row of the next one, the last partition with a copy of the very first row."""
+    copy (guest) of the first row of the next one, the last partition with a copy of the very first row.
+
+    Partitions are read as streams, so their size isn't bounded by memory; there are MAX_RANGES at most, which bounds what the
+    driver draws (SAMPLE ids a range) and what tasks hold of it (an id a range, and the first id of each range).
+    """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("d"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    n = max(1, min(int(size.n), max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size.b or 0) // RANGE_BYTES)))
-    cuts = np.unique(np.array(rows.stat.approxQuantile("d", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], dtype=np.float64)).astype(np.int64)
-    heads = rows.select("d").distinct().transform(lambda x: _with_range(x, cuts)).groupBy("own").agg(F.min("d").alias("head")).orderBy("own").collect()  # n rows at most
-    before = {heads[i].head: heads[i - 1].own for i in range(len(heads))}
+    n = max(1, min(int(size.n), MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size.b or 0) // RANGE_BYTES)))
+    cuts = _cuts(rows, size.n, n)
+    firsts = _with_range(rows.select("d"), cuts).groupBy("own").agg(F.min("d").alias("head")).orderBy("own").toArrow()
+    own, head = (firsts.column(c).to_numpy().astype(np.int64) for c in ("own", "head"))
+    before = np.roll(own, 1)  # the range before each one; that of the first is the last
 
     @F.pandas_udf("array<struct<part:int,guest:boolean>>")
     def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, ids.to_numpy(), side="right").tolist()
-        return pd.Series([[(o, False), (before[i], True)] if i in before else [(o, False)] for i, o in zip(ids.tolist(), own, strict=True)])
+        d = ids.to_numpy()
+        where = np.searchsorted(cuts, d, side="right")
+        at = np.searchsorted(own, where)
+        return pd.Series([[(o, False), (int(before[k]), True)] if h == i else [(o, False)] for i, o, k, h in zip(d.tolist(), where.tolist(), at.tolist(), head[at].tolist(), strict=True)])
 
     dealt = rows.withColumn("at", F.explode(places("d"))).select("at.part", "at.guest", "d", "doc_id", "text")
     return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", "d", "text")
