@@ -38,12 +38,19 @@ def strip(c: Column) -> Column:
 
 
 def is_boilerplate(c: Column) -> Column:
-    """FLT-04: legal or front-matter words anywhere in the text; null is not."""
-    low = F.lower(c)
-    held = F.lit(False)
-    for k in BOILERPLATE_LITERALS:
-        held = held | low.contains(k)
-    return F.coalesce(held & low.rlike("(?U)" + "|".join(BOILERPLATE)), F.lit(False))
+    """FLT-04: legal or front-matter words anywhere in the text; null is not.
+
+    The lower-cased text is one element of an array, so that it is made once a row in filters too; the patterns run only on
+    texts that hold one of the literals they need.
+    """
+
+    def found(low: Column) -> Column:
+        held = F.lit(False)
+        for k in BOILERPLATE_LITERALS:
+            held = held | low.contains(k)
+        return F.when(held, low.rlike("(?U)" + "|".join(BOILERPLATE))).otherwise(False)
+
+    return F.coalesce(F.exists(F.array(F.lower(c)), found), F.lit(False))
 
 
 def is_boilerplate_article(title: Column, text: Column) -> Column:

@@ -82,7 +82,9 @@ def byte_coverage(units: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
 def segments(nodes: DataFrame, key: str, last_page: str = "n_pages") -> DataFrame:
     """WN-05, WN-16: title, start, stop of outline nodes (key, title, page): up to the next node's page; inverted ones go."""
-    w = Window.partitionBy(key).orderBy("page", "node_no")
+    # WN-16: of the nodes of one page the first stays.
+    nodes = nodes.groupBy(key, "page").agg(F.min_by(F.struct("title", last_page), "node_no").alias("n")).select(key, "page", "n.*")
+    w = Window.partitionBy(key).orderBy("page")
     stop = F.coalesce(F.lead("page").over(w), F.col(last_page)) - 1
     return nodes.select(key, "title", F.col("page").alias("start"), stop.alias("stop")).where("start <= stop")
 

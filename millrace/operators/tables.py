@@ -115,14 +115,23 @@ def any_word(line: Column, query: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, found, F.lit(False)), F.lit(False))
 
 
-def lookup(df: DataFrame, small: DataFrame, key: str, value: str, default, limit_bytes: int = 64 << 20) -> DataFrame:
-    """JN-07, PRJ-13: a value from a small table, the last of a key, or a default; it is broadcast up to ``limit_bytes``."""
-    one = small.groupBy(key).agg(F.max(value).alias(value))
+def lookup(df: DataFrame, small: DataFrame, key: str, value: str, default, limit_bytes: int = 64 << 20, order: str | None = None) -> DataFrame:
+    """JN-07: a value from a small table, the last of a key (in ``order``, or as the rows are read), or a default; it is
+    broadcast up to ``limit_bytes``."""
+    one = small.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(value, "_at").alias(value))
     size = one.agg(F.count("*").alias("n"), F.sum(F.length(F.col(value).cast("string"))).alias("b")).first()
     one = F.broadcast(one) if (size.b or 0) + 64 * size.n <= limit_bytes else one
     return df.join(one, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def normalised(c: Column, aliases: dict[str, str], what: str) -> Column:
+    """PRJ-13: the one name of a value's aliases (in any case, outer white space off); an unknown value is an error."""
+    low = F.lower(F.trim(c))
+    names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    unknown = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(c, F.lit("null"))))
+    return F.coalesce(F.try_element_at(names, low), unknown.cast("string"))
+
+
 def first_seen(df: DataFrame, content: Column, path: str, *order: str) -> DataFrame:
     """WN-02: ``df`` with sha1 and duplicate_of: the first path of equal content, null for that first row itself.
 

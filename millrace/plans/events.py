@@ -63,7 +63,7 @@ def stream_daily_windows(spark, sf_dir):
     """ST-01, ST-05: the same windows by a stream that reads all there is, keeps its state and ends."""
     schema = table(spark, sf_dir, "events").schema
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = incremental.follow(spark, sf_dir, schema, "events.parquet")
+    stream = incremental.follow(spark, f"{sf_dir}/events.parquet", schema)
     sums = incremental.windowed_usage(stream)
     query = incremental.run_state(sums, f"{base}/out", f"{base}/state")
     query.awaitTermination()
@@ -143,11 +143,16 @@ def judge_priority_source(spark, sf_dir):
     return firsts.select("conv_id", pair["source"].alias("source"))
 
 
-@register("rewrite_first", "SELECT conv_id, 'better' AS first FROM conversations GROUP BY conv_id HAVING count(*) FILTER (text IS NOT NULL) > 0")
+@register(
+    "rewrite_first",
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE text IS NOT NULL)
+       SELECT conv_id, string_agg(CASE WHEN k = 1 THEN 'better: ' || text ELSE text END, '|' ORDER BY k) AS chosen FROM p GROUP BY conv_id""",
+)
 def rewrite_first(spark, sf_dir):
     """DM-04, JN-16: the first pair of an array gets a new answer."""
     pairs = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("chosen")))).alias("p"))
-    return pairs.select("conv_id", F.element_at(judging.rewrite_first(F.col("p"), F.lit("better")), 1)["chosen"].alias("first"))
+    better = judging.rewrite_first(F.col("p"), F.concat(F.lit("better: "), F.element_at("p", 1)["chosen"]))
+    return pairs.select("conv_id", F.array_join(F.transform(better, lambda x: x["chosen"]), "|").alias("chosen"))
 
 
 @register(
@@ -180,23 +185,26 @@ def interval_union(spark, sf_dir):
 
 @register(
     "segment_lead",
-    """WITH n AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS page, lead(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity AS BIGINT), l_linenumber) AS nxt FROM lineitem)
+    """WITH f AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS page, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2),
+       n AS (SELECT *, lead(page) OVER (PARTITION BY l_orderkey ORDER BY page) AS nxt FROM f)
        SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS title, page AS start, coalesce(nxt, 51) - 1 AS stop FROM n WHERE page <= coalesce(nxt, 51) - 1""",
 )
 def segment_lead(spark, sf_dir):
-    """WN-05: outline nodes as segments up to the next node."""
+    """WN-05, WN-16: outline nodes as segments up to the next node; of the nodes of one page the first."""
     nodes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("title"), F.col("l_linenumber").alias("node_no"), F.col("l_quantity").cast("long").alias("page"), F.lit(51).cast("long").alias("n_pages"))
     return lines.segments(nodes, "l_orderkey").select("l_orderkey", "title", "start", "stop")
 
 
 @register(
     "lookup_join",
-    "SELECT c.c_custkey, coalesce(n.n_name, '') AS n_name FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey",
+    """WITH l AS (SELECT n_regionkey, arg_max(n_name, n_nationkey) AS n_name FROM nation WHERE n_regionkey < 4 GROUP BY 1)
+       SELECT c.c_custkey, coalesce(l.n_name, '') AS n_name FROM customer c LEFT JOIN l ON l.n_regionkey = c.c_nationkey % 5""",
 )
 def lookup_join(spark, sf_dir):
-    """JN-07: names from a small table, '' where there is none."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return tables.lookup(table(spark, sf_dir, "customer"), nation, "c_nationkey", "n_name", "").select("c_custkey", "n_name")
+    """JN-07: the last nation of a region, '' where there is none."""
+    nation = table(spark, sf_dir, "nation").where("n_regionkey < 4").select(F.col("n_regionkey").alias("k"), "n_name", "n_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("k"))
+    return tables.lookup(customers, nation, "k", "n_name", "", order="n_nationkey").select("c_custkey", "n_name")
 
 
 @register(
@@ -211,13 +219,15 @@ def top_customers(spark, sf_dir):
 
 @register(
     "point_ids",
-    "SELECT vec_id, sha1('x_chunk_' || vec_id) AS name_sha1, 36 AS id_length, '5' AS version FROM embeddings",
+    """WITH h AS (SELECT vec_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('x_chunk_' || vec_id)) AS h FROM embeddings)
+       SELECT vec_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+         || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END
+         || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
 )
 def point_ids(spark, sf_dir):
     """MH-04: stable ids of chunks; the tests compare them with a UUID library."""
     name = F.concat(F.lit("x_chunk_"), F.col("vec_id").cast("string"))
-    ids = table(spark, sf_dir, "embeddings").select("vec_id", F.sha1(F.encode(name, "UTF-8")).alias("name_sha1"), V.point_id(name).alias("p"))
-    return ids.select("vec_id", "name_sha1", F.length("p").alias("id_length"), F.substring("p", 15, 1).alias("version"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.point_id(name).alias("point_id"))
 
 
 @register("token_mask_rows")

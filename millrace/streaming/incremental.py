@@ -13,7 +13,10 @@ from millrace.operators.tables import last_wins
 
 
 def follow(spark: SparkSession, folder: str, schema: StructType, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """ST-05, ST-09: a stream of the Parquet files that appear in a folder."""
+    """ST-05, ST-09: a stream of the Parquet files that appear in a folder. A table is its own folder or single file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        folder, pattern = where.getParent().toString(), where.getName()
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -28,20 +31,36 @@ def run_pending(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def upsert_batches(target: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """SNK-02 for streams: each batch is a version of the table: the old rows with the batch's, of each key the last.
-
-    Versions are folders; the newest is the table. A batch that is run again writes the same folder.
+def upsert_batches(target: str, key: list[str], order: list[str], merge_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """SNK-02 for streams: of each key the last row. A batch writes its own reduced rows only; every ``merge_every``-th batch
+    writes the whole table, so that a reader merges few of them. A batch that is run again writes the same folder.
     """
 
     def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else spark.read.parquet(f"{target}/v={number - 1}").unionByName(batch)
-        last_wins(rows, key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        rows, whole = last_wins(batch, key, order), number % merge_every == 0
+        if whole and number:
+            rows = last_wins(current(batch.sparkSession, target, key, order, number).unionByName(rows), key, order)
+        rows.write.mode("overwrite").parquet(f"{target}/{'whole' if whole else 'part'}={number}")
 
     return work
 
 
+def _versions(spark: SparkSession, target: str) -> list[tuple[int, str]]:
+    """(number, folder) of the batches under a target whose write has ended."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []
+    done = [f for f in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted((int(f.getName().split("=")[1]), f.toString()) for f in done)
+
+
+def current(spark: SparkSession, target: str, key: list[str], order: list[str], before: int | None = None) -> DataFrame:
+    """The table that :func:`upsert_batches` keeps: the newest whole version with the parts after it (before a batch's number)."""
+    known = [(n, f) for n, f in _versions(spark, target) if before is None or n < before]
+    first = max((n for n, f in known if f.rsplit("/", 1)[1].startswith("whole=")), default=0)
+    return last_wins(spark.read.parquet(*[f for n, f in known if n >= first]), key, order)
+
+
 def run_state(sums: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Runs a stream of sums over all that is there; each batch writes its changed rows with its number (column batch)."""
 

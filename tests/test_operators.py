@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.functions import json_fields as J
+from millrace.functions import predicates
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking, code_units, export, html_markdown, judging, lines, ranking, spans, tables, training_tokens, vector_search
+from millrace.operators import chunking, code_units, export, html_markdown, judging, layout, lines, ranking, spans, tables, training_tokens, vector_search
 from millrace.plans import registry
 from millrace.sources import records
 from millrace.streaming import incremental
@@ -258,4 +259,30 @@ def test_stream_upserts(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(source)
         query = incremental.run_pending(incremental.follow(spark, source, rows.schema), incremental.upsert_batches(target, ["id"], ["at"]), str(tmp_path / "cp"))
         query.awaitTermination()
-    assert sorted((r.id, r.v) for r in spark.read.parquet(f"{target}/v=1").collect()) == [(1, "c"), (2, "b")]
+    assert sorted((r.id, r.v) for r in incremental.current(spark, target, ["id"], ["at"]).collect()) == [(1, "c"), (2, "b")]
+
+
+def test_captions(spark):
+    box = "doc_id long, page long, {}, x0 double, y0 double, x1 double, y1 double"
+    found = spark.createDataFrame([(1, 1, 1, 100.0, 100.0, 300.0, 200.0), (1, 1, 2, 100.0, 110.0, 300.0, 220.0), (1, 2, 3, 0.0, 0.0, 9.0, 9.0), (2, 1, 4, 0.0, 0.0, 9.0, 9.0)], box.format("table_id long"))
+    blocks = spark.createDataFrame([(1, 1, "Table 1: near", 100.0, 85.0, 200.0, 95.0), (1, 1, "Fig. 2 beside", 60.0, 150.0, 90.0, 160.0), (1, 1, "no caption", 100.0, 96.0, 200.0, 99.0), (3, 1, "Table 9", 0.0, 0.0, 1.0, 1.0)], box.format("text string"))
+    assert sorted((r.table_id, r.caption) for r in layout.nearest_captions(found, blocks).collect()) == [(1, "Table 1: near"), (2, "Fig. 2 beside"), (3, None), (4, None)]
+
+
+def test_html_keeps_code_and_passes_over_nested_parts(spark):
+    html = "<div class='navbox'><div>x</div>gone</div><p>a<script>b</script></p><pre><code class='language-c'>if (a &lt; b) <b>c</b>;</code></pre><p>x <code>y<i>z</i></code> <span class='math-container'>e=1</span></p>"
+    got = one(spark, html_markdown.wiki_markdown(F.col("t"), F.lit("")), t=html)
+    assert [line.strip() for line in got.split("\n") if line.strip()] == ["a", "```c", "if (a < b) c;", "```", "x `yz`  $e=1$"]
+
+
+def test_streams_follow_tables_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00", "view", 2.0, 7), (2, "2024-01-01 11:00:00", "view", 3.0, 7)], "event_id long, ts string, event_type string, value double, user_id long").withColumn("ts", F.to_timestamp("ts"))
+    rows.repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r.n, r.total) for r in registry.queries()["stream_daily_windows"](spark, str(tmp_path)).collect()] == [(2, 5.0)]
+
+
+def test_strict_inputs(spark):
+    with pytest.raises(ValueError):
+        predicates.of_types(F.col("t"), ["function", "verse"])
+    with pytest.raises(Exception, match="unknown language"):
+        one(spark, tables.normalised(F.col("t"), {"en": "english"}, "language"), t="xx")
