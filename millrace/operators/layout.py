@@ -70,28 +70,34 @@ def reading_order(items: DataFrame, width: Column, key: tuple[str, ...] = PAGE,
     return banded.withColumn("col", col).withColumn("position", F.row_number().over(order) - 1).drop("_wide")
 
 
+def _bound(tables: list[dict], blocks: list[dict]) -> list[dict]:
+    """The caption of each table of one page; tables take theirs in order, a block serves once."""
+    free = sorted(blocks, key=lambda b: (b["y0"], b["x0"], b["text"]))
+    out = []
+    for t in sorted(tables, key=lambda t: t["table_id"]):
+        near = []
+        for i, b in enumerate(free):
+            beside = 0 <= t["x0"] - b["x1"] <= CAPTION_LEFT and b["y0"] <= t["y1"] and b["y1"] >= t["y0"]
+            above = 0 <= t["y0"] - b["y1"] <= CAPTION_ABOVE and b["x0"] <= t["x1"] and b["x1"] >= t["x0"]
+            if beside or above:
+                near.append((abs(t["y0"] - b["y0"]), i))
+        out.append({"table_id": t["table_id"], "caption": free.pop(min(near)[1])["text"] if near else None})
+    return out
+
+
 def nearest_captions(tables: DataFrame, blocks: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:
     """JN-17: key, table_id, caption of each table: of the caption-like blocks left of it or above it the one at the least
-    vertical distance. Tables take theirs in order, a block serves once: a fold over one page, which is small."""
-    schema = ", ".join([*(f"{k} long" for k in key), "table_id long", "caption string"])
-
-    def bind(page: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        free = [] if found.empty else found.sort_values(["y0", "x0", "text"], kind="stable").to_dict("records")
-        out = []
-        for t in [] if page.empty else page.sort_values("table_id").to_dict("records"):
-            near = []
-            for i, b in enumerate(free):
-                beside = 0 <= t["x0"] - b["x1"] <= CAPTION_LEFT and b["y0"] <= t["y1"] and b["y1"] >= t["y0"]
-                above = 0 <= t["y0"] - b["y1"] <= CAPTION_ABOVE and b["x0"] <= t["x1"] and b["x1"] >= t["x0"]
-                if beside or above:
-                    near.append((abs(t["y0"] - b["y0"]), i))
-            out.append([*(t[k] for k in key), t["table_id"], free.pop(min(near)[1])["text"] if near else None])
-        return pd.DataFrame(out, columns=[*key, "table_id", "caption"])
-
-    # Both sides may come from one table: columns with names of their own are told apart.
-    tables, blocks = tables.toDF(*tables.columns), blocks.toDF(*blocks.columns)
+    vertical distance. A fold over one page, which is small; many pages make one Arrow batch."""
+
+    @F.pandas_udf("array<struct<table_id:long,caption:string>>")
+    def bind(found: pd.Series, captions: pd.Series) -> pd.Series:
+        return pd.Series([_bound(list(t), [] if c is None else list(c)) for t, c in zip(found, captions, strict=True)])
+
+    box = ("x0", "y0", "x1", "y1")
+    listed = tables.groupBy(*key).agg(F.collect_list(F.struct("table_id", *box)).alias("t"))
     captions = blocks.where(F.col("text").rlike(r"(?i)^\s*(?:table|figure|fig\.|tablo|şekil)\s*\d"))
-    return tables.groupBy(*key).cogroup(captions.groupBy(*key)).applyInPandas(bind, schema)
+    captions = captions.groupBy(*key).agg(F.collect_list(F.struct("text", *box)).alias("c"))
+    return listed.join(captions, list(key), "left").select(*key, F.explode(bind("t", "c")).alias("x")).select(*key, "x.*")
 
 
 def printed_contents(lines: DataFrame, first_pages: int = 25) -> DataFrame:

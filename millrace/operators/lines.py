@@ -125,53 +125,66 @@ def stitched_pages(pages: DataFrame, key: str, page: str = "page", text: str = "
     return listed.select(key, F.aggregate("p", F.lit(""), add).alias("text"))
 
 
+def _kept(boxes: list[dict], iou: float, inside: float) -> list[int]:
+    """Positions of the boxes of one page that no larger kept one overlaps too much."""
+    area = [(b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) for b in boxes]
+    out: list[int] = []
+    for i in sorted(range(len(boxes)), key=lambda i: (-area[i], boxes[i]["box_id"])):
+        b = boxes[i]
+        for j in out:
+            k = boxes[j]
+            both = max(0.0, min(b["x1"], k["x1"]) - max(b["x0"], k["x0"])) * max(0.0, min(b["y1"], k["y1"]) - max(b["y0"], k["y0"]))
+            union = area[i] + area[j] - both
+            if both > 0 and ((union > 0 and both / union > iou) or (area[i] > 0 and both / area[i] > inside)):
+                break
+        else:
+            out.append(i)
+    return out
+
+
 def suppressed_boxes(boxes: DataFrame, key: list[str], iou: float = 0.60, inside: float = 0.85) -> DataFrame:
     """SET-05, SL-06, MH-05: boxes (key, box_id, x0, y0, x1, y1) of a page that no larger kept box overlaps too much.
 
-    The greedy choice needs the boxes of one page together; a page holds few.
+    The greedy choice needs the boxes of one page together; a page holds few, and many pages make one Arrow batch.
     """
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = (pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)
-        pdf = pdf.assign(_area=area).sort_values(["_area", "box_id"], ascending=[False, True])
-        kept: list = []
-        for b in pdf.itertuples():
-            for k in kept:
-                both = max(0.0, min(b.x1, k.x1) - max(b.x0, k.x0)) * max(0.0, min(b.y1, k.y1) - max(b.y0, k.y0))
-                a, c = (b.x1 - b.x0) * (b.y1 - b.y0), (k.x1 - k.x0) * (k.y1 - k.y0)
-                union = a + c - both
-                if both > 0 and ((union > 0 and both / union > iou) or (a > 0 and both / a > inside)):
-                    break
-            else:
-                kept.append(b)
-        return pdf[pdf.box_id.isin([k.box_id for k in kept])].drop(columns="_area")
-
-    return boxes.groupBy(*key).applyInPandas(keep, boxes.schema)
+    @F.pandas_udf("array<int>")
+    def keep(pages: pd.Series) -> pd.Series:
+        return pd.Series([_kept(list(p), iou, inside) for p in pages])
+
+    listed = boxes.groupBy(*key).agg(F.collect_list(F.struct(*boxes.columns)).alias("b"))
+    shapes = F.transform("b", lambda x: F.struct(*[x[c].alias(c) for c in ("box_id", "x0", "y0", "x1", "y1")]))
+    return listed.select(F.explode(F.transform(keep(shapes), lambda i: F.get("b", i))).alias("r")).select("r.*")
+
+
+def _hulls(boxes: list[dict], distance: float) -> list[dict]:
+    """Hulls of the boxes of one page, merged until no two lie closer than ``distance``."""
+    rest = [[b[c] for c in ("x0", "y0", "x1", "y1")] for b in boxes]
+    done: list[list[float]] = []
+    while rest:
+        hull = rest.pop()
+        near = [i for i, r in enumerate(rest) if _gap(hull, r) < distance]
+        if not near:
+            done.append(hull)
+            continue
+        for i in reversed(near):
+            r = rest.pop(i)
+            hull = [min(hull[0], r[0]), min(hull[1], r[1]), max(hull[2], r[2]), max(hull[3], r[3])]
+        # A grown hull can be near to what was done before.
+        rest += [hull, *done]
+        done = []
+    return [dict(zip(("x0", "y0", "x1", "y1"), h, strict=True)) for h in sorted(done)]
 
 
 def grouped_boxes(boxes: DataFrame, key: list[str], distance: float = 30.0) -> DataFrame:
     """SET-06, MH-05: key and the hulls of boxes that lie closer than ``distance`` or touch, until nothing merges."""
 
-    def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = pdf[["x0", "y0", "x1", "y1"]].values.tolist()
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(rest)):
-                near = [j for j in range(len(rest)) if j != i and _gap(rest[i], rest[j]) < distance]
-                if near:
-                    group = [rest[i], *(rest[j] for j in near)]
-                    hull = [min(g[0] for g in group), min(g[1] for g in group), max(g[2] for g in group), max(g[3] for g in group)]
-                    rest = [r for j, r in enumerate(rest) if j != i and j not in near] + [hull]
-                    changed = True
-                    break
-        out = pd.DataFrame(sorted(rest), columns=["x0", "y0", "x1", "y1"])
-        for n, k in enumerate(key):
-            out.insert(n, k, pdf[k].iloc[0])
-        return out
-
-    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in key)
-    return boxes.groupBy(*key).applyInPandas(hulls, f"{kinds}, x0 double, y0 double, x1 double, y1 double")
+    @F.pandas_udf("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    def hulls(pages: pd.Series) -> pd.Series:
+        return pd.Series([_hulls(list(p), distance) for p in pages])
+
+    listed = boxes.groupBy(*key).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("b"))
+    return listed.select(*key, F.explode(hulls("b")).alias("h")).select(*key, "h.*")
 
 
 def _gap(a: list[float], b: list[float]) -> float:
