@@ -1,13 +1,16 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
 A page is read as a sequence of text runs and tags. Words score positive, tags negative, and words of parts that are
-boilerplate by their tag or by names in class, id and role (menus, footers, sidebars, notices, adverts, forms, comments)
-score negative too. One linear scan finds the contiguous part of the greatest sum: the content region. Its blocks are the
-result, without the boilerplate parts inside it.
+boilerplate (menus, footers, sidebars, notices, adverts, forms, comments) negative too. One linear scan finds the contiguous
+part of the greatest sum: the content region. Its blocks are the result, without the boilerplate parts inside it.
 
 Weights come from labelled pages: pages that mark their article themselves with a single ``article`` or ``main`` element.
 A word's weight depends on whether it stands in a link or list; a tag's weight is the log-odds of being met inside rather
-than outside of marked articles, kept negative. The marks themselves are where content ends, so they cost most.
+than outside of marked articles, kept negative. The marks themselves are where content ends, so they cost most. A part is
+boilerplate if its evidence is negative: what its tag, role and names say before anything is learned (a name counts only if
+all of its parts are of that kind, so ``related-posts`` does and ``related-work`` doesn't), plus the learned log-odds of its
+class and id names. A list of little but links is boilerplate outside of marked articles. No evidence holds against a part
+that wraps the page's content: one with more than half of the words, and with a heading or article inside.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by line ends.
 
@@ -29,8 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages from which weights are learned, at most.
-SAMPLE_PAGES = 2000
+#: Pages from which weights are learned, at most, and bytes of each at most (longer ones aren't learned from).
+SAMPLE_PAGES, SAMPLE_PAGE_BYTES = 2000, 64 << 10
+#: Part of the words that a wrapper holds, and part of a list's words in links that makes it a menu.
+WRAPPER, MENU = 0.5, 0.8
+#: Pages in which a class or id name must be met to be learned, and evidence below which a part is boilerplate.
+NAME_PAGES, BOILERPLATE = 5, -1.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
@@ -50,6 +57,11 @@ _HINTS = frozenset(
 )
 # Elements of running text, which cost little before anything is learned.
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tr td th figure figcaption hr".split()) | _INLINE
+# Parts of names that go with such names and say nothing themselves.
+_NEUTRAL = frozenset(
+    "site page top bottom left right main global js box bar block list item items area panel section container wrapper wrap inner outer slot unit holder group button buttons link links icon icons form field post posts article articles content "
+    "text title thread news story stories blog mobile desktop fixed sticky primary secondary module region nav header foot body".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _MARKS = ("article", "main")
 _WHOLE = frozenset(["html", "body", "main"])
@@ -59,16 +71,30 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_boilerplate(name: str, raw: str, in_mark: bool) -> bool:
+def _names(a: dict[str, str]) -> list[str]:
+    """The class and id names of an element."""
+    return f"{a.get('class', '')} {a.get('id', '')}".split()
+
+
+def _says_boilerplate(name: str, of_article: bool) -> bool:
+    """Whether all parts of a name belong to boilerplate, and one of them says so."""
+    parts = {p.lower() for p in _NAME.findall(name)}
+    said = parts & (frozenset({"comment", "comments", "reply", "ad", "advert"}) if of_article else _HINTS)
+    return bool(said) and parts <= _HINTS | _NEUTRAL
+
+
+def _evidence(name: str, raw: str, in_mark: bool, learned: dict[str, float]) -> float:
+    """For (positive) or against an element being content; 0 without any."""
     if name in _NEVER or name == "header" and not in_mark:
-        return True
+        return -4.0
     if not raw or name in _WHOLE or raw.isspace():
-        return False
+        return 0.0
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or a.get("role", "").lower() in _ROLES:
-        return True
-    names = {n.lower() for n in _NAME.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    return not names.isdisjoint({"comment", "comments", "reply", "ad", "advert"} if name == "article" else _HINTS)
+        return -4.0
+    names = _names(a)
+    said = -3.0 if any(_says_boilerplate(n, name == "article") for n in names) else 0.0
+    return said + sum(learned.get(n.lower(), 0.0) for n in names)
 
 
 @dataclass
@@ -81,59 +107,98 @@ class Token:
     dead: bool
     mark: bool
     breaks: bool
+    raw: str = ""
 
 
-def tokens(page: str) -> list[Token]:
-    """The page's text runs and tags."""
-    out: list[Token] = []
-    skipping, depth = "", 0  # the open boilerplate element and how often its name is open
-    marks = links = items = 0
-    ends = Counter(m[1].lower() for m in re.finditer(r"</([a-zA-Z][^\s/>]*)", page))
-
-    def text_run(text: str) -> None:
-        if text:
-            out.append(Token("", text, "word:link" if links else "word:item" if items else "word", bool(skipping), bool(marks), False))
-
+def _read(page: str) -> list[tuple[str, bool, str, str]]:
+    """(name, whether it closes, attributes, text) of the page's tags and text runs; raw text goes with its element."""
+    out: list[tuple[str, bool, str, str]] = []
     at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text_run(page[at:])
-            return out
-        text_run(page[at : m.start()])
+    while m := _TOKEN.search(page, at):
+        if m.start() > at:
+            out.append(("", False, "", page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
-        if closing:
-            ends[name] -= 1
         if name in _RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            for x in re.finditer(r"</([a-zA-Z][^\s/>]*)", page[at : end.end() if end else len(page)]):
-                ends[x[1].lower()] -= 1
             at = end.end() if end else len(page)
-            out.append(Token(name, "", name, True, bool(marks), name not in _INLINE))
+            out.append((name, False, "/", ""))
+        else:
+            out.append((name, closing, m[3], ""))
+    if at < len(page):
+        out.append(("", False, "", page[at:]))
+    return out
+
+
+def _extents(raw: list[tuple[str, bool, str, str]]) -> tuple[dict[int, int], list[int], list[int], list[int]]:
+    """The closing tag of each closed element, and sums before each token: words, words in links, headings and articles."""
+    end: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    words, linked, heads = [0], [0], [0]
+    in_link = False
+    for i, (name, closing, _, text) in enumerate(raw):
+        n = len(text.split()) if not name else 0
+        words.append(words[-1] + n)
+        linked.append(linked[-1] + (n if in_link else 0))
+        heads.append(heads[-1] + (name in ("h1", "h2", "article", "main", "p") and not closing))
+        if name == "a":
+            in_link = not closing
+        if closing and opened.get(name):
+            end[opened[name].pop()] = i
+        elif name and not closing and name not in _VOID:
+            opened.setdefault(name, []).append(i)
+    return end, words, linked, heads
+
+
+def tokens(page: str, learned: dict[str, float] | None = None) -> list[Token]:
+    """The page's text runs and tags; ``learned`` has the evidence of class and id names."""
+    raw = _read(page)
+    end, words, linked, heads = _extents(raw)
+    strong = {i for i, (name, closing, _, _) in enumerate(raw) if name in ("h1", "article", "main") and not closing}
+    out: list[Token] = []
+    marks = links = items = 0
+    until = -1  # the closing tag of the boilerplate part that is open
+
+    def inside(i: int, sums: list[int]) -> int:
+        return sums[end[i]] - sums[i + 1] if i in end else 0
+
+    def wraps(i: int, name: str) -> bool:
+        if name in _NEVER and name != "form" or 2 * inside(i, words) <= 2 * WRAPPER * words[-1]:
+            return False
+        return inside(i, heads) > 0 if name == "form" else any(i < k < end[i] for k in strong)
+
+    def menu(i: int, name: str) -> bool:
+        n = inside(i, words)
+        return name in ("ul", "ol", "menu", "dir") and not marks and n >= 3 and inside(i, linked) >= MENU * n
+
+    for i, (name, closing, attributes, text) in enumerate(raw):
+        if not name:
+            out.append(Token("", text, "word:link" if links else "word:item" if items else "word", i < until, bool(marks), False))
             continue
         breaks = name not in _INLINE
-        if skipping:
-            if name == skipping and name not in _VOID:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skipping = ""
-                    out.append(Token(name, "", f"/{name}", True, bool(marks), breaks))
-                    continue
-        elif not closing and name not in _VOID and not m[3].rstrip().endswith("/") and _is_boilerplate(name, m[3], bool(marks)):
-            if ends[name] > 0:
-                skipping, depth = name, 1
+        if name in _RAW and attributes == "/":
             out.append(Token(name, "", name, True, bool(marks), breaks))
             continue
-        if not skipping and name in _MARKS:
+        if i == until:
+            until = -1
+            out.append(Token(name, "", f"/{name}", True, bool(marks), breaks))
+            continue
+        if until < 0 and not closing and name not in _VOID and not attributes.rstrip().endswith("/"):
+            against = _evidence(name, attributes, bool(marks), learned or {}) < BOILERPLATE
+            if (against and not wraps(i, name)) or menu(i, name):
+                until = end.get(i, -1)
+                out.append(Token(name, "", name, True, bool(marks), breaks, attributes))
+                continue
+        if until < 0 and name in _MARKS:
             marks = max(0, marks + (-1 if closing else 1))
         if name == "a":
             links = 0 if closing else 1
         elif name in ("li", "td", "dd", "dt"):
             items = max(0, items + (-1 if closing else 1))
-        out.append(Token(name, "", f"/{name}" if closing else name, bool(skipping), bool(marks), breaks))
+        out.append(Token(name, "", f"/{name}" if closing else name, until >= 0, bool(marks), breaks, "" if closing else attributes))
+    return out
 
 
 @dataclass
@@ -146,6 +211,7 @@ class Weights:
     dead_word: float = -0.05
     dead_tag: float = -0.3
     mark: float = -60.0
+    names: dict[str, float] = field(default_factory=dict)
 
     def of(self, t: Token) -> float:
         """A token's score. Boilerplate inside a marked article doesn't count: what follows it is still the article."""
@@ -165,9 +231,12 @@ def learn(pages: list[list[Token]]) -> Weights:
     """Weights from the pages among ``pages`` that mark exactly one article."""
     inside: Counter = Counter()
     outside: Counter = Counter()
+    named: dict[bool, Counter] = {True: Counter(), False: Counter()}  # pages with a name inside and outside of their article
     for page in pages:
         if sum(t.name in _MARKS and t.kind[0] != "/" and not t.dead for t in page) != 1:
             continue
+        for where in (True, False):
+            named[where].update({n.lower() for t in page if t.raw and t.mark == where for n in _names(_attributes(t.raw))})
         for t in page:
             if t.name not in _MARKS:
                 (inside if t.mark and not t.dead else outside)[t.kind] += len(t.text.split()) if not t.name else 1
@@ -177,6 +246,9 @@ def learn(pages: list[list[Token]]) -> Weights:
     for k in {*inside, *outside} - {*weights.word}:
         if inside[k] + outside[k] >= 5:
             weights.tag[k] = min(-0.02, max(-4.0, math.log((inside[k] + 1) / (outside[k] + 1))))
+    for n in {*named[True], *named[False]}:
+        if named[True][n] + named[False][n] >= NAME_PAGES:
+            weights.names[n] = min(4.0, max(-4.0, math.log((named[True][n] + 0.5) / (named[False][n] + 0.5))))
     return weights
 
 
@@ -196,7 +268,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     """The article text of a whole page."""
     if not page:
         return ""
-    ts = tokens(page)
+    ts = tokens(page, weights.names)
     lo, hi = best_region([weights.of(t) for t in ts])
     while lo > 0 and lo < hi and not ts[lo - 1].breaks and not ts[lo - 1].dead:  # whole blocks only
         lo -= 1
@@ -218,12 +290,14 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def train(pages: DataFrame) -> Weights:
-    """Weights from a bounded sample of ``pages`` (page_id, html)."""
-    ids = [r.page_id for r in pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(SAMPLE_PAGES).collect()]
+    """Weights from a bounded sample of ``pages`` (page_id, html): one page of each of some ids, none longer than
+    SAMPLE_PAGE_BYTES."""
+    sized = pages.where((F.octet_length("html") <= SAMPLE_PAGE_BYTES) & F.col("page_id").isNotNull())
+    ids = [r.page_id for r in sized.select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(SAMPLE_PAGES).collect()]
     if not ids:
         return Weights()
-    some = pages.join(F.broadcast(pages.sparkSession.createDataFrame([(i,) for i in ids], "page_id long")), "page_id", "left_semi")
-    return learn([tokens(r.html) for r in some.select("html").toLocalIterator() if r.html])
+    some = sized.join(F.broadcast(pages.sparkSession.createDataFrame([(i,) for i in ids], "page_id long")), "page_id", "left_semi")
+    return learn([tokens(r.html) for r in some.groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").toLocalIterator()])
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:

@@ -1,6 +1,7 @@
 """Extraction on pages of several kinds, and the scan against all regions."""
 
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -18,6 +19,12 @@ CASES = [
     (f"<main><p>{P}</p><aside>{P}</aside><div class='advert'>buy</div><form>name <input></form><p>more text here</p></main>", f"{P.strip()}\nmore text here"),
     (f"<article><p>{P}<p>second<script>var a = '</p>';</script><!-- x --><style>p{{}}</style></article><article class='comment'>{P}{P}</article>", f"{P.strip()}\nsecond"),
     (f"<div role=navigation>x y z</div><div class=cookieNotice>ok</div><p>{P}</p><ul><li>one<li>two</ul><table><tr><td>c</td></tr></table>", f"{P.strip()}\none\ntwo\nc"),
+    # A form around the whole page, names that only look like boilerplate, menus and comment parts without known tags.
+    (f"<body><form id=aspnetForm><ul><li><a href=x>Home page</a><li><a href=y>About us</a></ul><div><h1>Title</h1><p>{P}</p></div></form></body>", f"Title\n{P.strip()}"),
+    (f"<div class='article related-work'><p>{P}</p></div><div class='related-posts'>{P}</div>", P.strip()),
+    (f"<article><p>{P}</p><div class='search-results-explained'><p>{P}</p></div><div class=site-search>find it</div></article>", f"{P.strip()}\n{P.strip()}"),
+    (f"<div id=postComments>one two</div><p>{P}</p><ul class=x7><li><a href=a>first link</a></li><li><a href=b>second link</a></li></ul>", P.strip()),
+    (f"<div class=sidebar><h1>Site</h1></div><div class='page-wrap ads'><h1>T</h1><article><p>{P}</p></article></div>", P.strip()),
     (f"<article><p>{P}</p><nav>unclosed", P.strip() + "\nunclosed"),
 ]
 
@@ -37,17 +44,61 @@ def test_scan_finds_the_greatest_sum(seed):
     assert html_text.best_region([-1.0, 0.0]) == (0, 0)
 
 
+class Article(HTMLParser):
+    """The blocks of a page's article, read by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.run = 0, [], []
+        self.feed(page)
+        self.close()
+
+    def end(self):
+        if "".join(self.run).split():
+            self.blocks.append(" ".join("".join(self.run).split()))
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.run.append(" ")
+        elif tag not in html_text._INLINE:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag not in html_text._INLINE:
+            self.end()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.run.append(data)
+
+
 def test_table(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").selectExpr("*", "1 AS text", "2 AS n_chars")
     weights = html_text.train(pages)
-    assert all(v > 0 for v in weights.word.values()) and all(v < 0 for v in weights.tag.values())
+    assert all(v > 0 for v in weights.word.values()) and all(v < 0 for v in weights.tag.values()) and weights.names["ad"] < 0
     rows = {r.page_id: r for r in html_text.extract(pages, weights).collect()}
     for r in pages.collect():
-        article = r.html.split("<article>")[1].split("</article>")[0]
-        want = html_text.main_text(article, W)
+        want = "\n".join(Article(r.html).blocks)
         assert rows[r.page_id].text == want and rows[r.page_id].n_chars == len(want)
 
 
+def test_names_are_learned():
+    page = f"<div class=zq><p>{P}</p></div><article><p>{P}</p><div class='sidebar'>kept {P}</div></article>"
+    weights = html_text.learn([html_text.tokens(page)] * 20)
+    assert weights.names["zq"] < html_text.BOILERPLATE < 1 < weights.names["sidebar"]
+    assert html_text.main_text(f"<div class=zq><p>{P}</p></div><div><p>{P}</p></div>", weights) == P.strip()
+    assert html_text.main_text(page, weights).endswith(f"kept {P.strip()}")
+
+
+def test_very_long_page():
+    body = "".join(f"<p>{P}{i}</p>" for i in range(20000))
+    got = html_text.main_text(f"<nav>menu</nav><div>{body}</div><footer>end</footer>", W).split("\n")
+    assert len(got) == 20000 and got[-1] == f"{P}19999"
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<b>" * 3000 + "y")], "page_id long, url string, html string")
     assert sorted(r.text for r in html_text.extract(df, html_text.train(df)).collect()) == ["", "", "x", "y"]
