@@ -2,16 +2,18 @@
 
 The model file compiles to three transducers that are composed lazily with each input:
 
-* normaliser: white space becomes the mark U+2581, one more mark is put before the text;
-* pieces: an arc for each piece, from characters to its id. In a unigram model an arc weighs minus the piece's score. In a
-  merge (BPE) model all arcs weigh 0, but a piece can follow another only if merging leaves the two apart: such a pair has
-  weight 0, any other is infinite. A sequence is what merging gives if and only if each adjacent pair stays apart, so the
-  only path of finite weight is the encoding;
+* normaliser (:class:`Normaliser`): longest character mappings, a mark put before the text, runs of spaces squeezed where the
+  model asks for it. It is deterministic and of weight 0, so composing an input with it is reading the input through it;
+* pieces (:class:`Pieces`): a trie whose final states give a piece's id and go back to the start. In a unigram model the arc
+  weighs minus the piece's score. In a merge (BPE) model arcs weigh 0, but the weight of a piece after another is 0 only if
+  merging leaves the two apart, and infinite otherwise: a sequence is what merging gives if and only if each adjacent pair
+  stays apart, so a state holds the last piece and the only path of finite weight is the encoding;
 * byte fallback: a character that no piece covers goes through the ids of its bytes.
 
-The encoding is the shortest path in the tropical semiring: found position by position for weights of all kinds, and depth
-first where they are 0 or infinite. The input is cut first where no piece can cross (before a run of marks, around line
-ends), and paths of short segments are remembered.
+States of the composition are (position in the input, last piece). They are made as the search for the shortest path in the
+tropical semiring reaches them: always the state of least weight, the farthest of equals, goes on; infinite arcs end there.
+User-defined pieces are cut out first, as the model demands. The input is cut where no piece can cross (before a run of marks,
+around line ends), and paths of short segments are remembered.
 
 Defined results: null and empty texts have no ids; a mark in the text reads as a space, as in the model; repeated rows are
 encoded alike; an empty table gives no rows; other columns are ignored.
@@ -20,6 +22,7 @@ encoded alike; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -59,15 +62,130 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+class CharacterMap:
+    """Mappings of a precompiled character map: a double-array trie over bytes and the texts that its leaves point to."""
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0] if blob else 0
+        self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if size else ()
+        self.texts = blob[4 + size :]
+
+    @staticmethod
+    def _base(unit: int) -> int:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """(bytes read, what they become) of the longest mapping at a place, or None."""
+        found, units = None, self.units
+        node = self._base(units[0])
+        for end in range(at, len(data)):
+            node ^= data[end]
+            if node >= len(units) or units[node] & 0x800000FF != data[end]:
+                break
+            unit = units[node]
+            node ^= self._base(unit)
+            if unit >> 8 & 1:
+                start = units[node] & 0x7FFFFFFF
+                found = end + 1 - at, self.texts[start : self.texts.index(0, start)]
+        return found
+
+
+class Normaliser:
+    """Reads a text into what the pieces are matched with. Its states: at the start, after a space, in a word."""
+
+    def __init__(self, blob: bytes, prefix: bool, squeeze: bool, kept: re.Pattern | None):
+        self.map = CharacterMap(blob) if len(blob) > 4 else None
+        self.prefix, self.squeeze, self.kept = prefix, squeeze, kept
+
+    def _mapped(self, text: str) -> str:
+        data, at, out = text.encode("utf-8", "surrogatepass"), 0, []
+        while at < len(data):
+            found = self.map.longest(data, at)
+            if found:
+                n, said = found
+            else:
+                n = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
+                said = data[at : at + n]
+            out.append(said)
+            at += n
+        return b"".join(out).decode("utf-8", "surrogatepass")
+
+    def read(self, text: str) -> str:
+        """The normalised text with spaces as marks' stand-ins; empty if nothing is left."""
+        if self.map:
+            parts = re.split(self.kept, text) if self.kept else [text]  # user-defined pieces stand at odd places, as they are
+            text = "".join(p if i % 2 else self._mapped(p) for i, p in enumerate(parts))
+        text = text.replace(MARK, " ")
+        if self.squeeze:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        return " " + text if text and self.prefix else text
+
+
+class Pieces:
+    """The trie of pieces with their ids and weights, and the weight of a piece after another."""
+
+    _KEY = 0x110000
+
+    def __init__(self, merges: bool):
+        self.merges = merges
+        self.ids: dict[str, int] = {}
+        self.weight: dict[str, float] = {}
+        self.child: dict[int, int] = {}
+        self.final: list[str | None] = [None]
+        self._apart: dict[tuple[str, str], bool] = {}
+
+    def add(self, piece: str, number: int, weight: float) -> None:
+        self.ids[piece], self.weight[piece] = number, weight
+        state = 0
+        for c in piece:
+            state = self.child.setdefault(state * self._KEY + ord(c), len(self.final))
+            if state == len(self.final):
+                self.final.append(None)
+        self.final[state] = piece
+
+    def arcs(self, text: str, at: int) -> list[str]:
+        """The pieces that can be read at a position, the shortest first, and before them a character without a piece."""
+        out: list[str] = []
+        state, child, final, key = 0, self.child, self.final, self._KEY
+        if text[at] not in self.ids:
+            out.append(text[at])
+        for end in range(at, len(text)):
+            state = child.get(state * key + ord(text[end]))
+            if state is None:
+                break
+            if final[state] is not None:
+                out.append(final[state])
+        return out
+
+    def finite(self, a: str, b: str) -> bool:
+        """Whether b after a has a finite weight. With a empty: whether b is reached at all."""
+        known = self._apart.get((a, b))
+        if known is None:
+            if len(self._apart) > 2 * REMEMBERED:
+                self._apart.clear()
+            known = self._apart[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+        return known
+
+    def _merged(self, text: str) -> list[str]:
+        """Merging from characters: of adjacent parts that form a piece, the one of least weight, the leftmost of ties."""
+        parts = list(text)
+        while True:
+            best = min(((self.weight[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.weight), default=None)
+            if best is None:
+                return parts
+            i = best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 class PieceTransducer:
     """The compiled model. Marks are spaces inside: the two stand for each other."""
 
     def __init__(self, model: bytes):
-        self.ids: dict[str, int] = {}
-        self.weight: dict[str, float] = {}
         self.byte_ids = [-1] * 256
         self.printed: list[bytes] = []
-        self.unknown, kind, prefix, squeeze = 0, _UNIGRAM, True, False
+        self.unknown, kind, prefix, squeeze, blob = 0, _UNIGRAM, True, True, b""
+        found: list[tuple[str, int, float]] = []
+        user: dict[str, int] = {}
         for number, value in _fields(model):
             if number == 1:
                 piece, score, sort = "", 0.0, _NORMAL
@@ -84,35 +202,38 @@ class PieceTransducer:
                     self.byte_ids[int(piece[3:5], 16)] = here
                     self.printed[here] = bytes([int(piece[3:5], 16)])
                 elif sort == _NORMAL:
-                    self.ids[plain], self.weight[plain] = here, -score
+                    found.append((plain, here, -score))
+                elif sort == _USER:
+                    user[plain] = here
                 elif sort == _UNKNOWN:
                     self.unknown = here
                     self.printed[here] = " ⁇ ".encode()
                 elif sort == _CONTROL:
                     self.printed[here] = b""
-                elif sort == _USER:
-                    raise ValueError("user-defined pieces aren't supported")
             elif number == 2:
                 kind = next((v for f, v in _fields(value) if f == 3), _UNIGRAM)
             elif number == 3:
                 spec = dict(_fields(value))
-                prefix, squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-                if spec.get(2):
-                    raise ValueError("character maps aren't supported")
+                prefix, squeeze, blob = bool(spec.get(3, 1)), bool(spec.get(4, 1)), spec.get(2, b"")
+                if not spec.get(5, 1):
+                    raise ValueError("models that don't mark white space aren't supported")
         if kind not in (_UNIGRAM, _MERGES):
             raise ValueError(f"model type {kind} isn't supported")
-        if not prefix or squeeze:
-            raise ValueError("only models with a dummy prefix that keep their white space are supported")
         if min(self.byte_ids) < 0:
             self.byte_ids = []
-        self.merges = kind == _MERGES
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self.unknown_weight = max(self.weight.values()) + 10
+        self.pieces = Pieces(kind == _MERGES)
+        for entry in found:
+            self.pieces.add(*entry)
+        self.prefix, self.user = prefix, user
+        self.user_pattern = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")") if user else None
+        self.normaliser = Normaliser(blob, prefix, squeeze, self.user_pattern)
+        self.unknown_weight = max(self.pieces.weight.values(), default=0.0) + 10
         # Where no piece can cross: before a run of marks, and around line ends.
-        self.cut_marks = not any(re.search("[^ ] ", p) for p in self.ids)
-        self.cut_lines = self.cut_marks and not any("\n" in p for p in self.ids)
+        whole = [*self.pieces.ids, *user]
+        known = lambda c: bool(self.byte_ids) or c in self.pieces.ids  # noqa: E731  a run of unknown characters is one piece
+        self.cut_marks = known(" ") and not any(re.search("[^ ] ", p) for p in whole)
+        self.cut_lines = self.cut_marks and known("\n") and not any("\n" in p for p in whole)
         self.line_end = self._packed(self._fallback("\n"))
-        self._apart: dict[tuple[str, str], bool] = {}
 
     def __reduce__(self):
         raise TypeError("a compiled model isn't shipped; compile it in the task")
@@ -122,86 +243,48 @@ class PieceTransducer:
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def _fallback(self, char: str) -> list[int]:
-        if char in self.ids:
-            return [self.ids[char]]
+        if char in self.pieces.ids:
+            return [self.pieces.ids[char]]
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
-    def stays_apart(self, a: str, b: str) -> bool:
-        """The weight of b after a in a merge model: True for 0, False for infinite. With a empty: whether b is reached."""
-        known = self._apart.get((a, b))
-        if known is None:
-            if len(self._apart) > 2 * REMEMBERED:
-                self._apart.clear()
-            known = self._apart[a, b] = self._merged(a + b) == ([a, b] if a else [b])
-        return known
-
-    def _merged(self, text: str) -> list[str]:
-        """Merging from characters: of adjacent parts that form a piece, the one of least weight, the leftmost of ties."""
-        parts = list(text)
-        while True:
-            best = min(((self.weight[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.weight), default=None)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
     def shortest_path(self, segment: str) -> list[int]:
         """Ids of the path of least weight through the composition of ``segment`` with the model."""
-        arcs = self._finite_path(segment) if self.merges else self._lightest_path(segment)
-        return [i for arc in arcs for i in ([self.ids[arc]] if arc in self.ids else self._fallback(arc))]
-
-    def _arcs(self, segment: str, start: int) -> list[str]:
-        """What can be read at a position: its pieces from the shortest on, or a character without a piece."""
-        out, end, ids, prefixes = [], start + 1, self.ids, self.prefixes
-        piece = segment[start:end]
-        if piece not in ids:
-            out.append(piece)
-        while True:
-            if piece in ids:
-                out.append(piece)
-            if piece not in prefixes or end >= len(segment):
-                return out
-            end += 1
-            piece = segment[start:end]
-
-    def _finite_path(self, segment: str) -> list[str]:
-        """A merge model's weights are 0 or infinite, so the first finite path found is the shortest. Each position is
-        reached by one finite path at most; one from which the end can't be reached isn't tried again."""
-        path: list[str] = []
-        at, before, dead, ids = 0, "", set(), self.ids
-        todo = [self._arcs(segment, 0)] if segment else []
-        while at < len(segment):
-            while todo[-1]:
-                arc = todo[-1].pop()
-                if at + len(arc) not in dead and (arc not in ids or self.stays_apart(before, arc)):
-                    break
-            else:
-                dead.add(at)
-                todo.pop()
-                at -= len(path.pop())
-                before = path[-1] if path and path[-1] in ids else ""
+        ids: list[int] = []
+        for i, part in enumerate(self.user_pattern.split(segment) if self.user_pattern else [segment]):
+            for arc in [part] if i % 2 else self.tropical_path(part):
+                if i % 2:
+                    ids.append(self.user[arc])
+                elif arc in self.pieces.ids:
+                    ids.append(self.pieces.ids[arc])
+                elif self.byte_ids or not ids or ids[-1] != self.unknown:  # a run of unknown characters is one piece
+                    ids += self._fallback(arc)
+        return ids
+
+    def tropical_path(self, text: str) -> list[str]:
+        """What the arcs of the lightest path read. Weights after the last piece are looked at when a state's turn comes."""
+        pieces, merges, unknown = self.pieces, self.pieces.merges, self.unknown_weight
+        weight = {} if merges else pieces.weight
+        # (weight, minus the position, tie, what the arc read, the state before); a state is (position, last piece).
+        heap: list[tuple] = [(0.0, 0, 0, "", None)]
+        settled: dict[tuple, tuple | None] = {}
+        tie = 0
+        while heap:
+            total, at, _, arc, before = heapq.heappop(heap)
+            at = -at
+            state = (at, arc if merges else "")
+            if state in settled or (merges and before is not None and not pieces.finite(before[1], arc)):
                 continue
-            path.append(arc)
-            at += len(arc)
-            before = arc if arc in ids else ""
-            todo.append(self._arcs(segment, at))
-        return path
-
-    def _lightest_path(self, segment: str) -> list[str]:
-        """Position by position, the least weight so far and its last arc."""
-        weight: list[float] = [0.0] + [float("inf")] * len(segment)
-        last = [""] * (len(segment) + 1)
-        for at in range(len(segment)):
-            for arc in self._arcs(segment, at):
-                to = at + len(arc)
-                through = weight[at] + self.weight.get(arc, self.unknown_weight)
-                if through < weight[to]:
-                    weight[to], last[to] = through, arc
-        path, at = [], len(segment)
-        while at:
-            path.append(last[at])
-            at -= len(last[at])
-        return path[::-1]
+            settled[state] = (before, arc)
+            if at == len(text):
+                path = []
+                while before is not None:
+                    path.append(arc)
+                    before, arc = settled[before]
+                return path[::-1]
+            for reads in pieces.arcs(text, at):
+                tie += 1
+                heapq.heappush(heap, (total + (0.0 if merges else weight.get(reads, unknown)), -at - len(reads), tie, reads, state))
+        raise ValueError("no path of finite weight")
 
 
 class _Remembered(dict):
@@ -233,20 +316,26 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
+        model = self.model
+        text = model.normaliser.read(text)
         if not text:
             return b""
-        text, model = text.replace(MARK, " "), self.model
         if not model.cut_marks:
-            return self.bare[" " + text]
+            return self.bare[text]
         out: list[bytes] = []
         for k, line in enumerate(text.split("\n") if model.cut_lines else [text]):
             if k:
                 out.append(model.line_end)
+            if k == 0 and model.prefix:
+                line = line[1:]
+                marked = True
+            else:
+                marked = False
             if "  " in line or line[:1] == " " or line[-1:] == " ":
-                out += [self.bare[s] for s in re.findall(" *[^ ]+| +", line if k else " " + line)]
+                out += [self.bare[s] for s in re.findall(" *[^ ]+| +", " " + line if marked else line)]
                 continue
             words = line.split(" ")
-            if k:
+            if not marked:
                 out.append(self.bare[words[0]] if words[0] else b"")
                 del words[0]
             out += map(self.after_space.__getitem__, words)
@@ -254,7 +343,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.model.printed.__getitem__, ids.tolist()))
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+        return (data.removeprefix(b" ") if self.model.prefix else data).decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}
