@@ -8,7 +8,8 @@ With max_bits + 1 disjoint groups of bits, two linked fingerprints agree in one
 together, each adds its differing bits to the pair's error, and pairs over the budget are dropped. A pair of nodes whose
 members already are in one component is dropped as well, so a ball of many close fingerprints costs no quadratic work and
 each bucket returns a spanning forest, never all its pairs. Buckets of very many fingerprints are cut into chunks, and each
-pair of chunks is a bucket of its own.
+pair of chunks is a bucket of its own. Keys of very many rows (a hot fingerprint, a text of many copies, the hub of a large
+component) meet what belongs to them by broadcast, so none of them is one task's work.
 
 Defined results: null and blank texts have fingerprint 0 and are linked like any other; texts of fewer words than a
 shingle count as one shingle; repeated rows are separate documents of one fingerprint; a null doc_id is never a component's
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import scratch, written
 
 SEED = 42
 MAX_BITS = 4
@@ -207,39 +208,59 @@ def _forests(max_bits: int):
     return run
 
 
+#: A key of more rows than this, and than this part of all rows, meets by broadcast: HOT_KEYS rows at most.
+HOT_ROWS, HOT_KEYS = 500, 10_000
+
+
+def join_unique(rows: DataFrame, ones: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``ones`` (unique ``key``, n: its number of rows among all ``total`` rows, ...)."""
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    many, few = F.broadcast(ones.where(hot).drop("n")), ones.where(~hot).drop("n")
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(few, key))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """What tells one set of edges from another: their number and two sums of 64-bit hashes."""
+    h = [F.xxhash64("a", "b", F.lit(i)) for i in range(2)]
+    return tuple(edges.agg(F.count("*"), F.sum(h[0].cast("decimal(38,0)")), F.bit_xor(h[1])).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each component of ``edges`` (a, b), for all nodes but the roots themselves.
 
     Alternating large-star and small-star steps; each step is a grouped minimum and a join.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if now == before or not now.n:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "edges")
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+    with scratch(edges.sparkSession):
+        edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        before = None
+        while True:
+            now = _state(edges)
+            if now == before or not now[0]:
+                return written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "components", keep=True)
+            before = now
+            both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+            large = join_unique(both, least, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+            large = written(large, "edges")
+            lower = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+            small = join_unique(large, lower, "a", now[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+            edges = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links reach."""
     prints = written(fingerprints(docs, n_words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(link_fingerprints(distinct.select("fp"), max_bits))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    size = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("prints")).first()
+    of_print = written(join_unique(named.withColumnRenamed("n", "copies"), written(ids, "component-ids"), "root", size.prints).select("fp", "component_id", F.col("copies").alias("n")), "component-of")
+    return join_unique(prints, of_print, "fp", size.rows).select("doc_id", "fp", "component_id")
 
 
-_SIGNED = "doc long, same binary, fp long, least array<long>, prefix array<long>, shingles array<int>"
+_SIGNED = "doc long, same binary, fp long, map binary, least array<long>, prefix array<long>, shingles array<int>"
 #: Least shingle hashes by which most similar texts meet first; what they miss (a chance of (1 - s)**4 at similarity s) meets by prefixes.
 MEETING = 4
 #: Texts, and bytes of their shingles, that meet in one bucket and are joined by one task; larger buckets are cut.
@@ -248,6 +269,8 @@ MEETING_ROWS, MEETING_BYTES = 20_000, 32 << 20
 SIGN_ROWS = 256
 #: Members of a block of texts with a prefix shingle in common, of which candidates are made.
 BLOCK_ROWS = 2_000
+#: Bits of a text's parity map.
+MAP_BITS = 1024
 #: Texts from which common shingles are found, and the most of these; they only set the order in which prefixes are read.
 SAMPLE, COMMON = 20_000, 100_000
 
@@ -281,6 +304,23 @@ def signature(h: np.ndarray) -> tuple[int, list[int], np.ndarray]:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True), h[:MEETING].view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
+def parity_map(shingles: np.ndarray) -> bytes:
+    """MAP_BITS bits, each set if an odd number of the (32-bit) shingles falls on it."""
+    count = np.bincount(shingles.view(np.uint32) >> np.uint32(32 - MAP_BITS.bit_length() + 1), minlength=MAP_BITS)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def _maps(column: pa.Array) -> np.ndarray:
+    """Parity maps as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), MAP_BITS // 64)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, nx, ny, similarity: float) -> np.ndarray:
+    """Whether pairs of sets (their maps and sizes) can have the similarity. Each element that is in one set only changes one
+    bit, so maps never differ in more bits than sets in elements: no similar pair is lost."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (nx + ny) + 1e-6
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
@@ -312,6 +352,11 @@ def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, sim
     All others meet by the prefixes of their shingles, which similar texts can't fail to share; pairs of which both already
     are in one component aren't looked at again.
     """
+    with scratch(docs.sparkSession):
+        return written(_similar(docs, n_words, max_bits, similarity), "similar-groups", keep=True)
+
+
+def _similar(docs: DataFrame, n_words: int, max_bits: int, similarity: float) -> DataFrame:
     common, rank = _common(docs, n_words)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,29 +371,32 @@ def similar_documents(docs: DataFrame, n_words: int = 5, max_bits: int = 20, sim
                     found.append(signature(h))
                     prefixes.append(prefix(h, common, rank, similarity).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(same, pa.binary()), pa.array([f for f, *_ in found], pa.int64()), pa.array([m for _, m, _ in found], pa.list_(pa.int64())),
-                     _lists(prefixes, np.int64), _lists([s for *_, s in found], np.int32)],
-                    ["doc", "same", "fp", "least", "prefix", "shingles"],
+                    [part.column("doc"), pa.array(same, pa.binary()), pa.array([f for f, *_ in found], pa.int64()), pa.array([parity_map(s) for *_, s in found], pa.binary()),
+                     pa.array([m for _, m, _ in found], pa.list_(pa.int64())), _lists(prefixes, np.int64), _lists([s for *_, s in found], np.int32)],
+                    ["doc", "same", "fp", "map", "least", "prefix", "shingles"],
                 )
 
     signed = written(docs.select("doc", "text").mapInArrow(sign, _SIGNED), "signatures")
     texts = signed.select("doc", "same")
-    first = texts.groupBy("same").agg(F.min("doc").alias("first"))
-    same = written(texts.join(first, "same").select("doc", "first"), "equal-texts")
+    first = written(texts.groupBy("same").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "first-of-equal")
+    same = written(join_unique(texts, first, "same", texts.count()).select("doc", "first"), "equal-texts")
     alone = same.where("doc = first").select("doc")
-    met = signed.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("least").alias("key")).join(alone, "doc", "left_semi")
-    sizes = met.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
-    sizes = sizes.select("key", F.ceil(F.greatest(F.col("m") / MEETING_ROWS, F.col("n") * 4 / MEETING_BYTES)).cast("int").alias("cuts"))
-    # Each text is in one part of a bucket, dealt anew for each key; prefixes find what the parts keep from meeting.
-    asked = written(met.join(sizes, "key").select("doc", F.xxhash64("key", F.pmod(F.xxhash64("doc", "key"), F.col("cuts"))).alias("bucket")), "meetings")
-    buckets = signed.select("doc", "fp", "shingles").join(asked, "doc").groupBy("bucket").agg(F.collect_list(F.struct("doc", "fp", "shingles")).alias("m")).select("m")
-    quick = components(buckets.mapInArrow(_verified(max_bits, similarity), "a long, b long"))
-    rooted = written(alone.join(quick, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root")), "quick-roots")
-    missed = written(_missed(signed, rooted, similarity), "missed-links")
+    with scratch(docs.sparkSession):
+        met = signed.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("least").alias("key")).join(alone, "doc", "left_semi")
+        sizes = met.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
+        sizes = sizes.select("key", F.ceil(F.greatest(F.col("m") / MEETING_ROWS, F.col("n") * 4 / MEETING_BYTES)).cast("int").alias("cuts"))
+        # Each text is in one part of a bucket, dealt anew for each key; prefixes find what the parts keep from meeting.
+        asked = written(met.join(sizes, "key").select("doc", F.xxhash64("key", F.pmod(F.xxhash64("doc", "key"), F.col("cuts"))).alias("bucket")), "meetings")
+        buckets = signed.select("doc", "fp", "map", "shingles").join(asked, "doc").groupBy("bucket").agg(F.collect_list(F.struct("doc", "fp", "map", "shingles")).alias("m")).select("m")
+        quick = components(buckets.mapInArrow(_verified(max_bits, similarity), "a long, b long"))
+        rooted = written(alone.join(quick, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root")), "quick-roots", keep=True)
+    with scratch(docs.sparkSession):
+        missed = written(_missed(signed, rooted, similarity), "missed-links", keep=True)
     from_, to = (rooted.select(F.col("doc").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     merged = components(missed.join(from_, "a").join(to, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    groups = same.join(rooted.select(F.col("doc").alias("first"), "root"), "first").join(merged.toDF("root", "least"), "root", "left")
-    return groups.select("doc", F.coalesce("least", "root").alias("keep"))
+    kept = rooted.join(merged.toDF("root", "least"), "root", "left").select(F.col("doc").alias("first"), F.coalesce("least", "root").alias("keep"))
+    copies = same.groupBy("first").agg(F.count("*").alias("n"))
+    return join_unique(same, written(kept.join(copies, "first"), "kept"), "first", same.count()).select("doc", "keep")
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -358,21 +406,24 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
 def _missed(signed: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
     """a, b: all similar texts of different roots (doc, root) that share a shingle of their prefixes."""
     known = written(signed.select("doc", F.size("shingles").alias("n"), "prefix").join(rooted, "doc"), "prefixes")
+    maps = signed.select("doc", "map")
     met = known.select("doc", "root", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = met.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s")
     shared = written(shared.select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cuts")), "shared-shingles")
-    asked = met.join(shared, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    asked = asked.groupBy("key", F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).agg(F.collect_list(F.struct("doc", "root", "n", "pos")).alias("m"))
+    asked = met.join(shared, "key").join(maps, "doc").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    asked = asked.groupBy("key", F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).agg(F.collect_list(F.struct("doc", "root", "n", "pos", "map")).alias("m"))
     pairs = written(asked.select("m").mapInArrow(_candidates(similarity), "a long, b long").distinct(), "candidates")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     sets = written(signed.select("doc", "shingles").join(wanted, "doc"), "wanted-shingles")
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    return both.mapInArrow(_linked(similarity), "a long, b long")
+    # Row by row: a batch of pairs of long texts could be larger than a worker's memory.
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(shared / (F.size("s") + F.size("t") - shared) >= similarity).select("a", "b")
 
 
 def _candidates(similarity: float):
-    """Pairs of different roots that can still be similar by their sizes and by what follows their shared shingle. The bound
-    is that of the first shared shingle, so a similar pair passes in that one's group at least."""
+    """Pairs of different roots that can still be similar by their sizes, by what follows their shared shingle and by their
+    parity maps. The bound is that of the first shared shingle, so a similar pair passes in that one's group at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,31 +431,20 @@ def _candidates(similarity: float):
                 flat = members.values
                 doc, root, n, pos = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc", "root", "n", "pos"))
                 order = np.argsort(doc)
+                maps = _maps(flat.field("map"))[order]
                 doc, root, n, pos = doc[order], root[order], n[order].astype(np.int64), pos[order].astype(np.int64)
                 for i in range(len(doc) - 1):
                     rest = slice(i + 1, None)
                     need = np.ceil(similarity / (1 + similarity) * (n[i] + n[rest]) - 1e-6) - 1  # 32-bit shingles may hide one
                     left = np.minimum(n[i] - pos[i], n[rest] - pos[rest])
-                    b = doc[rest][(root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1) & (left >= need)]
+                    j = i + 1 + np.flatnonzero((root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1) & (left >= need))
+                    b = doc[j[may_be_similar(maps[j], maps[i], n[j], n[i], similarity)]]
                     if len(b):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), doc[i])), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _linked(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for side in ("s", "t"):
-                lists = batch.column(side)
-                sides.append((lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()))
-            (s, x), (t, y) = sides
-            yield batch.select(["a", "b"]).filter(pa.array([jaccard(s[x[i] : x[i + 1]], t[y[i] : y[i + 1]]) >= similarity for i in range(batch.num_rows)], pa.bool_()))
-
-    return run
-
-
 def _verified(max_bits: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,8 +457,11 @@ def _verified(max_bits: int, similarity: float):
                 values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
                 order = np.argsort(fp, kind="stable")
                 sets = [values[ends[i] : ends[i + 1]] for i in order.tolist()]
+                maps, n = _maps(flat.field("map"))[order], np.diff(ends)[order]
 
-                def check(label, i, j, sets=sets):
+                def check(label, i, j, sets=sets, maps=maps, n=n):
+                    near = np.flatnonzero((label[i] != label[j]) & may_be_similar(maps[i], maps[j], n[i], n[j], similarity))
+                    i, j = i[near], j[near]
                     for x, y in zip(i.tolist(), j.tolist(), strict=True):
                         s, t = sets[x], sets[y]
                         if label[x] != label[y] and min(len(s), len(t)) >= similarity * max(len(s), len(t)) and jaccard(s, t) >= similarity:
