@@ -168,13 +168,17 @@ class Pieces:
 
     def _merged(self, text: str) -> list[str]:
         """Merging from characters: of adjacent parts that form a piece, the one of least weight, the leftmost of ties."""
-        parts = list(text)
-        while True:
-            best = min(((self.weight[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in self.weight), default=None)
-            if best is None:
-                return parts
-            i = best[1]
+        parts, none, weight = list(text), float("inf"), self.weight.get
+        costs = [weight(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) != none:
+            i = costs.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = weight(parts[i - 1] + parts[i], none)
+            if i < len(costs):
+                costs[i] = weight(parts[i] + parts[i + 1], none)
+        return parts
 
 
 class PieceTransducer:
