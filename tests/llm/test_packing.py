@@ -64,3 +64,27 @@ def test_edge_rows(spark):
     same = [(r.pack, r.bin) for r in got if r.doc_id in (5, 6)]
     assert len(same) == len(set(same))
     assert packing.pack_documents(docs.limit(0), 100).collect() == []
+
+
+def test_large_ids_beside_null(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "x" * 150, "s") for i in ids], "doc_id long, text string, source string").coalesce(1)
+    got = packing.pack_documents(docs, 100).collect()
+    assert sorted((str(r.doc_id), r.part) for r in got) == sorted((str(i), k) for i in ids for k in (0, 1))
+
+
+def test_one_hot_source_is_packed_fast():
+    items = [(7, 0, 0)] * 6000 + [(5, 1, 0)] * 6000
+    bins = packing.best_fit(items, 12)
+    assert len(set(bins)) == 6000 and bins[:6000] == list(range(6000)) and sorted(bins[6000:]) == list(range(6000))
+
+
+def test_packs_follow_from_the_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    before = sorted(map(str, packing.pack_documents(docs).collect()))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted(map(str, packing.pack_documents(docs).collect())) == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)

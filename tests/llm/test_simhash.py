@@ -102,3 +102,24 @@ def test_chains_of_edges_reach_the_smallest(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(simhash.components(edges).collect())
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_no_similar_pair_is_lost_by_parity_maps():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 600, 3000):
+        base = np.unique(rng.integers(-(2**31), 2**31, n).astype(np.int32))
+        for share in (0.0, 0.05, 0.11, 0.5):
+            other = np.unique(np.r_[base[int(share * len(base)) :], rng.integers(-(2**31), 2**31, int(share * n / 2)).astype(np.int32)])
+            maps = [np.frombuffer(simhash.parity_map(x), dtype=np.uint64) for x in (base, other)]
+            if simhash.jaccard(base, other) >= 0.8:
+                assert simhash.may_be_similar(maps[0], maps[1], len(base), len(other), 0.8)
+    far = [np.unique(rng.integers(-(2**31), 2**31, 200).astype(np.int32)) for _ in range(2)]
+    assert not simhash.may_be_similar(*(np.frombuffer(simhash.parity_map(x), dtype=np.uint64) for x in far), 200, 200, 0.8)
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 4 if i > 20 else 9, i) for i in range(40)], "k long, v long")
+    ones = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 10 AS x")
+    got = simhash.join_unique(rows, ones, "k", 40).collect()
+    assert len(got) == 40 and all(r.x == r.k * 10 for r in got)

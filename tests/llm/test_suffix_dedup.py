@@ -97,3 +97,13 @@ def test_characters_stay_whole():
     assert suffix_dedup.whole_characters(data, [(0, 2)]) == [(0, 1)]
     assert suffix_dedup.whole_characters(data, [(2, 4)]) == [(3, 4)]
     assert suffix_dedup.whole_characters(data, [(1, 2)]) == []
+
+
+def test_large_ids_beside_null(spark):
+    text = " ".join(map(str, range(60)))
+    ids = [2**60 + 1, 2**60 + 3, None]
+    docs = suffix_dedup.keyed_documents(spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").coalesce(1))
+    rows = suffix_dedup.with_spans(docs)
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.digests(rows).collect()} == {None: (len(text), 0), 2**60 + 1: (len(text), len(text)), 2**60 + 3: (len(text), len(text))}
+    left = {r.doc_id: (r.text, r.cut) for r in suffix_dedup.without_spans(rows).collect()}
+    assert left == {None: (text, False), 2**60 + 1: ("", True), 2**60 + 3: ("", True)}
