@@ -30,9 +30,9 @@ from millrace.session import written
 
 CAPACITY = 8192
 #: Units in a pack: what one task holds at a time are sizes and ids of this many units' documents.
-PACK_UNITS = 16 << 20
+PACK_UNITS = 4 << 20
 #: Documents in a pack, at most about this many (short documents).
-PACK_ROWS = 20_000
+PACK_ROWS = 4_000
 #: Bins in a block, at most twice this many.
 BLOCK = 48
 
