@@ -365,13 +365,23 @@ def _buckets(length: int, gram: int):
     return run
 
 
+#: Characters of a text by which rows are dealt to ranges; range bounds are drawn on the driver, so they hold no whole texts.
+BOUND_CHARS = 128
+
+
+def in_text_order(docs: DataFrame, *order: str) -> DataFrame:
+    """``docs`` (doc_id, text, ...) sorted by ``order`` (doc_id, text and what follows) over all partitions. Ranges are cut
+    between ids and heads of texts, which never contradicts the order of whole texts; that is kept by the sort."""
+    return docs.repartitionByRange("doc_id", F.substring("text", 1, BOUND_CHARS)).sortWithinPartitions(*order)
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """doc, doc_id, text (never null): doc is unique and follows (doc_id, text). It is doc_id where that is unique."""
     twice = docs.groupBy(F.coalesce("doc_id", F.lit(_FIRST))).agg(F.count("*").alias("n")).where("n > 1")
     text = F.coalesce("text", F.lit("")).alias("text")
     if twice.isEmpty():
         return docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), "doc_id", text)
-    ordered = docs.select("doc_id", text).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = in_text_order(docs.select("doc_id", text), "doc_id", "text")
     return written(ordered.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "ordered-docs")
 
 

@@ -107,3 +107,12 @@ def test_large_ids_beside_null(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.digests(rows).collect()} == {None: (len(text), 0), 2**60 + 1: (len(text), len(text)), 2**60 + 3: (len(text), len(text))}
     left = {r.doc_id: (r.text, r.cut) for r in suffix_dedup.without_spans(rows).collect()}
     assert left == {None: (text, False), 2**60 + 1: ("", True), 2**60 + 3: ("", True)}
+
+
+def test_rows_of_one_id_are_in_the_order_of_whole_texts(spark):
+    rng = random.Random(3)
+    head = "é" * (suffix_dedup.BOUND_CHARS - 1)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), head[: rng.choice([5, 127])] + "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))) for _ in range(400)]
+    docs = suffix_dedup.keyed_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = [(r.doc_id, r.text) for r in docs.orderBy("doc").collect()]
+    assert got == sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1].encode()))
