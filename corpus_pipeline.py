@@ -24,7 +24,7 @@ def _with_key(docs: DataFrame) -> DataFrame:
     first = -(2**63)
     if docs.groupBy(F.coalesce("doc_id", F.lit(first))).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs.select(F.coalesce("doc_id", F.lit(first)).alias("doc"), *DOCUMENTS)
-    ordered = docs.select(DOCUMENTS).repartitionByRange(*DOCUMENTS).sortWithinPartitions(*DOCUMENTS)
+    ordered = suffix_dedup.in_text_order(docs.select(DOCUMENTS), *DOCUMENTS)
     return written(ordered.select(F.monotonically_increasing_id().alias("doc"), *DOCUMENTS), "keyed-docs")
 
 
