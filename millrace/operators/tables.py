@@ -28,6 +28,11 @@ def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_anti")
 
 
+def with_defaults(own: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
+    """JN-15: ``own`` and the defaults whose key it lacks; columns that a default doesn't have are null."""
+    return own.unionByName(pending(defaults, own, key), allowMissingColumns=True)
+
+
 def needs_enrichment(text: Column, value: Column, sentinels: tuple[str, ...] = ()) -> Column:
     """FLT-22, FLT-24: there is text, and the value is null, blank, an empty list or a sentinel."""
     v = F.trim(F.coalesce(value, F.lit("")))
