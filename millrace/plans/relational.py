@@ -27,12 +27,11 @@ def pricing_summary(spark, sf_dir):
 @register(
     "document_counts",
     """SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE length(text) >= 100) AS n_long,
-       count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS n_blank,
        round(100.0 * count(*) FILTER (WHERE length(text) >= 100) / count(*), 1) AS percent_long
        FROM documents GROUP BY lang""",
 )
 def document_counts(spark, sf_dir):
-    """AG-01, FLT-03, MH-08: all documents, those of 100 characters at least and blank ones, counted in one pass."""
+    """AG-01, FLT-03, MH-08: all documents, those of 100 characters at least, counted in one pass."""
     n_long = F.count_if(F.length("text") >= 100)
     return (
         table(spark, sf_dir, "documents")
@@ -40,7 +39,6 @@ def document_counts(spark, sf_dir):
         .agg(
             F.count("*").alias("n_docs"),
             n_long.alias("n_long"),
-            F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("n_blank"),
             F.round(100.0 * n_long / F.count("*"), 1).alias("percent_long"),
         )
     )
@@ -65,7 +63,7 @@ def default_labels(spark, sf_dir):
        list_distinct(string_split(trim(lower(p_type)), ' ')) AS b FROM part)
        SELECT p_partkey, CAST(len(list_intersect(a, b)) AS INTEGER) AS n_shared,
        CAST(len(list_distinct(list_concat(a, b))) AS INTEGER) AS n_all,
-       len(list_filter(a, lambda x: starts_with(x, 'b'))) > 0 AS any_b, len(list_filter(a, lambda x: length(x) <= 2)) = 0 AS all_long,
+       len(list_filter(a, lambda x: starts_with(x, 'b'))) > 0 AS any_b, len(list_filter(a, lambda x: length(x) <= 4)) = 0 AS all_long,
        array_to_string(list_sort(a)[1:2], ' ') AS first_two FROM w""",
 )
 def part_name_words(spark, sf_dir):
@@ -79,7 +77,7 @@ def part_name_words(spark, sf_dir):
             F.size(F.array_intersect("a", "b")).alias("n_shared"),
             F.size(F.array_union("a", "b")).alias("n_all"),
             F.exists("a", lambda x: x.startswith("b")).alias("any_b"),
-            F.forall("a", lambda x: F.length(x) > 2).alias("all_long"),
+            F.forall("a", lambda x: F.length(x) > 4).alias("all_long"),
             F.array_join(F.slice(F.array_sort("a"), 1, 2), " ").alias("first_two"),
         )
     )
