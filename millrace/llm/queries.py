@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, html_text, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
+from millrace.llm import chat_format, filter_audit, html_text, merkle, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -85,9 +85,88 @@ def op10_exact_topk(spark, sf_dir):
     return topk.exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op9_html_extraction": op9_html_extraction, "op10_exact_topk": op10_exact_topk}
+def op11_merkle_manifest(spark, sf_dir):
+    """Leaves, subroots, the root and checked proofs of all documents."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    """What five filters remove from all documents in every order, by source."""
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op9_html_extraction": op9_html_extraction, "op10_exact_topk": op10_exact_topk, "op11_merkle_manifest": op11_merkle_manifest, "op13_filter_audit": op13_filter_audit}
+
+
+def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
+    """The Merkle manifest for trees of up to 16**levels leaves and 16**tops sources, level by level."""
+
+    def tree(name: str, depth: int) -> str:
+        """From {name}0 (tree, i, n, h): its other levels, its roots and, per leaf, the steps of its path."""
+        out = ""
+        for k in range(1, depth + 1):
+            out += f"{name}{k} AS (SELECT tree, i // 16 AS i, (max(n) + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k - 1} WHERE n > 1 GROUP BY tree, i // 16),\n"
+        out += f"{name}_roots AS (" + " UNION ALL ".join(f"SELECT tree, h AS root FROM {name}{k} WHERE n = 1" for k in range(depth + 1)) + "),\n"
+        for k in range(depth):
+            out += f"""{name}_steps{k} AS (SELECT a.tree, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS pre, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS post
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY a.tree, a.i),\n"""
+        return out
+
+    def folds(name: str, depth: int, source: str) -> str:
+        """Folds the steps of a tree into f (the hash so far) and p (the siblings so far) of the rows of ``source`` (tree, i, f, p, ...)."""
+        out = ""
+        for k in range(depth):
+            below = source if k == 0 else f"{name}_fold{k - 1}"
+            out += f"""{name}_fold{k} AS (SELECT r.* REPLACE (CASE WHEN s.pre IS NULL THEN r.f ELSE sha256(s.pre || r.f || s.post) END AS f, r.p || coalesce(s.pre || s.post, '') AS p)
+  FROM {below} r LEFT JOIN {name}_steps{k} s ON s.tree = r.tree AND s.i = r.i // {16**k}),\n"""
+        return out
+
+    hashed = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE crc(doc_id, d, c, pos) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT), 0 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, d, list_reduce([xor(c, CAST(ascii(d[pos + 1]) AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x % 2) * 3988292384)), pos + 1 FROM crc WHERE pos < length(d)),
+hit AS (SELECT doc_id FROM crc WHERE pos = length(d) AND xor(c, 4294967295) % 5 = 0),
+hashed AS (SELECT documents.doc_id, source, {hashed("text")} AS leaf, CASE WHEN hit.doc_id IS NULL THEN {hashed("text")} ELSE {hashed(lowered)} END AS f FROM documents LEFT JOIN hit USING (doc_id)),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY CASE WHEN source IS NULL THEN '' ELSE '=' || source END) - 1 AS tree FROM hashed),
+placed AS (SELECT doc_id, tree, leaf, f, '' AS p, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM ranked),
+l0 AS (SELECT tree, i, n, leaf AS h FROM placed),
+{tree("l", levels)}t0 AS (SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, root AS h FROM l_roots),
+{tree("t", tops)}{folds("l", levels, "placed")}upper AS (SELECT doc_id, tree AS own, leaf, f, p, 0 AS tree, tree AS i FROM l_fold{levels - 1}),
+{folds("t", tops, "upper")}roots AS (SELECT root FROM t_roots)
+SELECT doc_id, leaf, l_roots.root AS subroot, roots.root AS root, sha256(p) AS proof_sha256, f AS folded_root, f = roots.root AS verified
+FROM t_fold{tops - 1} r JOIN l_roots ON l_roots.tree = r.own, roots"""
+
+
+#: A filter's failure in SQL, by its letter.
+_FAILS = {"A": "words < 200", "B": "100 * unique_words < 50 * words", "C": "100 * capitals > 2 * points", "D": "marks", "E": "doc_id > first_id"}
+
+_AUDIT_SQL = rf"""
+WITH read AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+split AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS found FROM read),
+counted AS (SELECT doc_id, part, first_id, len(found) AS words, len(list_distinct(found)) AS unique_words, length(text) AS points,
+    length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS capitals, regexp_matches(text, '[#$%&*|]') AS marks FROM split),
+flags AS (SELECT doc_id, coalesce(max(quality) FILTER (quality = 1), 0) AS good, coalesce(max(toxic) FILTER (toxic = 1), 0) AS toxic FROM labels GROUP BY doc_id),
+masked AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {", ".join(f"coalesce({v}, false) AS {k}" for k, v in _FAILS.items())} FROM counted LEFT JOIN flags USING (doc_id)),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM {", ".join(f"(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) {t}" for t in "abcde")}
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+kinds AS (SELECT part, good, toxic, {" || ".join(f"CASE WHEN {k} THEN '{k}' ELSE '' END" for k in _FAILS)} AS failed, count(*) AS n FROM masked GROUP BY ALL),
+audited AS (
+  SELECT part, filter_order, step, f,
+    sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (failed = f) AS unique_fails,
+    sum(n * good) FILTER (hit AND NOT gone) AS good_lost, sum(n * toxic) FILTER (hit AND NOT gone) AS toxic_lost
+  FROM (SELECT kinds.*, steps.*, contains(failed, f) AS hit, before <> '' AND regexp_matches(failed, '[' || CASE WHEN before = '' THEN '-' ELSE before END || ']') AS gone FROM kinds, steps)
+  GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM audited"""
 
 SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op13_filter_audit": _AUDIT_SQL,
     "op7_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
