@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, filter_audit, html_text, merkle, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
+from millrace.llm import chat_format, embedding_dedup, filter_audit, html_text, merkle, packing, pieces, sharding, simhash, sketch, suffix_dedup, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -90,12 +90,17 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_dedup(spark, sf_dir):
+    """Links and components of all embeddings of a cosine of at least 0.9."""
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark, sf_dir):
     """What five filters remove from all documents in every order, by source."""
     return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op9_html_extraction": op9_html_extraction, "op10_exact_topk": op10_exact_topk, "op11_merkle_manifest": op11_merkle_manifest, "op13_filter_audit": op13_filter_audit}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_chat_formatting": op7_chat_formatting, "op8_fingerprints": op8_fingerprints, "op9_html_extraction": op9_html_extraction, "op10_exact_topk": op10_exact_topk, "op11_merkle_manifest": op11_merkle_manifest, "op12_embedding_dedup": op12_embedding_dedup, "op13_filter_audit": op13_filter_audit}
 
 
 def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
@@ -166,6 +171,16 @@ FROM audited"""
 
 SQL: dict[str, str] = {
     "op11_merkle_manifest": _merkle_sql(),
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id""",
     "op13_filter_audit": _AUDIT_SQL,
     "op7_chat_formatting": r"""
 WITH turns AS (
