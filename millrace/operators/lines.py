@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.functions.text import is_table_row, is_toc_line
 
 RUN_MARKER = "*(Repetitive sequence truncated)*"
@@ -113,16 +114,34 @@ def merge_short(parts: DataFrame, key: str, least: int, longest_title: int = 180
 
 
 def stitched_pages(pages: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
-    """WN-11, WN-19: a document's pages as one text: hyphenated ends are joined, open sentences go on, else a paragraph ends."""
-    listed = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, text))).alias("p"))
+    """WN-11: a document's pages as one text: hyphenated ends are joined, open sentences go on, else a paragraph ends. Pages
+    that meet in a table, a code fence or before a heading are never joined; blank pages don't count.
 
-    def add(done: Column, p: Column) -> Column:
-        t = F.trim(F.coalesce(p[text], F.lit("")))
-        sep = F.when(done.rlike(r"(?U)\w-\z") & t.rlike(r"(?U)\A\p{Ll}"), F.lit("-")).when(done.rlike(r"(?U)[^.!?:]\z") & t.rlike(r"(?U)\A\p{Ll}"), F.lit(" ")).otherwise(F.lit("\n\n"))
-        merged = F.when(sep == "-", F.concat(F.regexp_replace(done, r"-\z", ""), t)).otherwise(F.concat(done, sep, t))
-        return F.when(t == "", done).when(done == "", t).otherwise(merged)
-
-    return listed.select(key, F.aggregate("p", F.lit(""), add).alias("text"))
+    A fold over one document's pages keeps only how the last line starts and ends; the text is put together once.
+    """
+    body = T.strip(F.coalesce(F.col(text), F.lit("")))
+    listed = pages.select(key, page, body.alias("t")).where("t <> ''")
+    first, last = F.regexp_extract("t", r"\A([^\n]*)", 1), F.ltrim(F.regexp_extract("t", r"([^\n]*)\z", 1))
+    ends = F.struct(page, "t", F.substring(T.strip(first), 1, 3).alias("head"), F.substring(last, 1, 3).alias("start"), F.right(last, F.lit(2)).alias("tail"), F.contains("t", F.lit("\n")).alias("many"))
+    listed = listed.groupBy(key).agg(F.sort_array(F.collect_list(ends)).alias("p"))
+    state = "struct<start:string,tail:string,seps:array<string>>"
+
+    def add(acc: Column, p: Column) -> Column:
+        begins = lambda mark: F.startswith(acc["start"], F.lit(mark)) | F.startswith(p["head"], F.lit(mark))
+        apart = begins("|") | begins("```") | F.startswith(p["head"], F.lit("#"))
+        broken = acc["tail"].rlike(r"\A\p{L}-\z") & p["head"].rlike(r"\A\p{L}")
+        opened = acc["tail"].rlike(r"[^.!?:;]\z") & p["head"].rlike(r"\A\p{Ll}")
+        sep = F.when(F.size(acc["seps"]) == 0, "").when(apart, "\n\n").when(broken, "-").when(opened, " ").otherwise("\n\n")
+        joined = F.transform(F.array(sep), lambda s: F.struct(F.when(~p["many"] & s.isin("-", " "), acc["start"]).otherwise(p["start"]), p["tail"], F.concat(acc["seps"], F.array(s))).cast(state))
+        return joined[0]
+
+    # Over short heads and tails only, never the growing text.
+    short = F.transform("p", lambda p: F.struct(p["head"].alias("head"), p["start"].alias("start"), p["tail"].alias("tail"), p["many"].alias("many")))
+    seps = F.aggregate(short, F.struct(F.lit("").alias("start"), F.lit("").alias("tail"), F.array().cast("array<string>").alias("seps")).cast(state), add)["seps"]
+    found = listed.select(key, "p", seps.alias("s"))
+    cut = lambda p, i: F.when(F.get("s", i + 1) == "-", F.substr(p["t"], F.lit(1), F.length(p["t"]) - 1)).otherwise(p["t"])
+    part = lambda p, i: F.concat(F.when(F.get("s", i) == "-", "").otherwise(F.get("s", i)), cut(p, i))
+    return found.select(key, F.array_join(F.transform("p", part), "").alias("text"))
 
 
 def _kept(boxes: list[dict], iou: float, inside: float) -> list[int]:

@@ -19,7 +19,7 @@ _BOX = {
     "y0": "CAST(l_suppkey * 53 % 780 AS DOUBLE)",
     "x1": "CAST(l_partkey * 37 % 400 + 20 + CAST(l_quantity AS BIGINT) * 17 % 500 AS DOUBLE)",
     "y1": "CAST(l_suppkey * 53 % 780 + 8 + CAST(l_quantity AS BIGINT) * 3 AS DOUBLE)",
-    "text": "CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN 'Page 12' WHEN 1 THEN 'int x;' WHEN 2 THEN 'Table 1: words' ELSE 'plain words' END",
+    "text": "CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN '12' ELSE 'RP2040 Datasheet' END WHEN 1 THEN 'int x;' WHEN 2 THEN 'Table 1: words' ELSE 'plain words' END",
     "mono": "CAST(l_quantity AS BIGINT) % 3 = 0",
     "size": "CAST(l_quantity AS BIGINT)",
 }
@@ -32,7 +32,7 @@ def _boxes(spark, sf_dir):
 
 @register(
     "layout_running_lines",
-    rf"""WITH {_BOXES} SELECT doc_id, item_id, y1 < 50 OR y0 > 842 - 45 OR (regexp_matches(trim(text), '^([Pp]age\s+)?\d{{1,4}}(\s*(/|of)\s*\d{{1,4}})?$') AND (y1 < 75 OR y0 > 842 - 75)) AS running FROM b""",
+    rf"""WITH {_BOXES} SELECT doc_id, item_id, y1 <= 50 OR y0 < 45 OR y0 >= 842 - 50 OR (y0 >= 842 - 75 AND regexp_matches(text, '^[0-9]+$')) OR (y0 <= 75 AND text = 'RP2040 Datasheet') AS running FROM b""",
 )
 def layout_running_lines(spark, sf_dir):
     """FLT-13: running headers, footers and page numbers."""
@@ -79,20 +79,108 @@ def layout_inside_regions(spark, sf_dir):
     return layout.inside_regions(b.where("size <= 20").drop("size"), b.where("size > 20").withColumnRenamed("item_id", "region_id")).select("doc_id", "page", "item_id", "region_id")
 
 
+# Order lines repeat their key and number.
+_UNIQUE = "(l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 50 + CAST(l_quantity AS BIGINT)"
+# Pages of one, two or three columns with lines that span them, derived from order lines: about 80 lines a page.
+_FLOW = {
+    "doc_id": "l_suppkey",
+    "page": "CAST(l_partkey % 7 AS BIGINT)",
+    "item_id": _UNIQUE,
+    "x0": "CAST(CASE WHEN l_quantity = 50 THEN 40 ELSE 40 + l_orderkey % (1 + (l_suppkey + l_partkey % 7) % 3) * {pitch} + l_partkey % 9 END AS DOUBLE)",
+    "x1": "CAST(CASE WHEN l_quantity = 50 THEN 500 + l_partkey % 9 ELSE 40 + l_orderkey % (1 + (l_suppkey + l_partkey % 7) % 3) * {pitch} + {pitch} - 12 - l_orderkey % 41 END AS DOUBLE)",
+    "y0": "CAST((l_orderkey * 31 + l_linenumber * 7) % 780 AS DOUBLE)",
+    "y1": "CAST((l_orderkey * 31 + l_linenumber * 7) % 780 + 9 AS DOUBLE)",
+    "size": "CAST(CASE WHEN l_quantity = 49 THEN 14 ELSE 10 END AS DOUBLE)",
+    "kind": "CASE WHEN l_quantity = 48 THEN 'table' WHEN l_quantity = 47 THEN 'code' ELSE 'line' END",
+    "text": "CASE CAST(l_quantity AS BIGINT) % 10 WHEN 0 THEN ' ' WHEN 1 THEN '# ' || l_partkey WHEN 2 THEN l_returnflag || 'mp-' WHEN 3 THEN l_suppkey || '-' ELSE l_linestatus || ' ' || l_partkey END",
+}
+_PITCH = "(CASE (l_suppkey + l_partkey % 7) % 3 WHEN 0 THEN 480 WHEN 1 THEN 250 ELSE 165 END)"
+_FLOWS = "f AS (SELECT " + ", ".join(f"{e.replace('{pitch}', _PITCH)} AS {c}" for c, e in _FLOW.items()) + " FROM lineitem)"
+# Every point of a page that no narrow line covers, then runs of such points.
+_GUTTERS = f"""{_FLOWS},
+n AS (SELECT doc_id, page, unnest(range(greatest(0, CAST(trunc(x0) AS INTEGER)), least(595, CAST(trunc(x1) AS INTEGER)))) AS x FROM f WHERE x1 - x0 <= 357 AND size <= 13),
+e AS (SELECT doc_id, page, x FROM (SELECT DISTINCT doc_id, page FROM f), (SELECT unnest(range(89, 505)) AS x) EXCEPT SELECT doc_id, page, x FROM n),
+i AS (SELECT doc_id, page, x, x - row_number() OVER (PARTITION BY doc_id, page ORDER BY x) AS run FROM e),
+r AS (SELECT doc_id, page, CAST(min(x) AS INTEGER) AS g0, CAST(max(x) + 1 AS INTEGER) AS g1 FROM i GROUP BY doc_id, page, run HAVING count(*) >= 12),
+g AS (SELECT r.* FROM r JOIN f USING (doc_id, page) GROUP BY ALL HAVING count(*) FILTER (f.x1 <= g0 + 3) >= 2 AND count(*) FILTER (f.x0 >= g1 - 3) >= 2)"""
+_ORDERED = f"""{_GUTTERS},
+m AS (SELECT doc_id, page, list((g0 + g1) / 2.0) AS mids FROM g GROUP BY ALL),
+k AS (SELECT f.*, coalesce(mids, []) AS mids FROM f LEFT JOIN m USING (doc_id, page)),
+s AS (SELECT *, len(mids) > 0 AND (x1 - x0 > 297.5 OR len(list_filter(mids, lambda q: x0 < q AND q < x1)) > 0) AS span FROM k),
+q AS (SELECT *, (SELECT count(*) FROM s t WHERE t.doc_id = s.doc_id AND t.page = s.page AND t.span AND CASE WHEN s.span THEN (t.y0, t.item_id) < (s.y0, s.item_id) ELSE t.y0 <= s.y0 END) AS band,
+        CASE WHEN span THEN 0 ELSE len(list_filter(mids, lambda q: q < (x0 + x1) / 2)) END AS col FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, span, col, y0, item_id) - 1 AS position FROM q)"""
+
+
+def _flow(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e.replace('{pitch}', _PITCH)} AS {c}" for c, e in _FLOW.items()])
+
+
+def _in_order(spark, sf_dir):
+    items = _flow(spark, sf_dir)
+    return layout.reading_order(items, layout.column_gutters(items, F.lit(595.0)), F.lit(595.0))
+
+
+@register("layout_gutters", f"WITH {_GUTTERS} SELECT doc_id, page, g0, g1 FROM g")
+def layout_gutters(spark, sf_dir):
+    """MH-07: gutters between the columns of a page, from the histogram of its lines."""
+    return layout.column_gutters(_flow(spark, sf_dir), F.lit(595.0))
+
+
+@register("layout_reading_order", f"WITH {_ORDERED} SELECT doc_id, page, item_id, band, CAST(col AS INTEGER) AS col, position FROM o")
+def layout_reading_order(spark, sf_dir):
+    """WN-20, SL-10: bands between spanning lines, then any number of columns, then down."""
+    return _in_order(spark, sf_dir).select("doc_id", "page", "item_id", "band", "col", "position")
+
+
 @register(
-    "layout_reading_order",
-    f"""WITH {_BOXES}, w AS (SELECT *, x1 - x0 >= 595.0 * 0.7 AS wide FROM b), s AS (SELECT *, sum(CASE WHEN wide THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, item_id) AS band,
-         CASE WHEN wide THEN 0 WHEN (x0 + x1) / 2 < 595.0 / 2 THEN 1 ELSE 2 END AS col FROM w)
-       SELECT doc_id, page, item_id, CAST(band AS BIGINT) AS band, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, col, y0, x0, item_id) - 1 AS position FROM s""",
+    "layout_paragraphs",
+    rf"""WITH {_ORDERED},
+a AS (SELECT doc_id, page, position, CASE WHEN kind = 'line' THEN trim(text) ELSE text END AS t, kind = 'line' AND trim(text) = '' AS blank,
+        kind <> 'line' OR regexp_matches(trim(text), '^#{{1,6}}\s+') OR size >= 13 AS alone FROM o),
+c AS (SELECT *, blank OR alone OR coalesce(lag(blank OR alone) OVER (PARTITION BY doc_id, page ORDER BY position), true) AS begins FROM a),
+d AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY position) AS p FROM c),
+h AS (SELECT doc_id, page, p, list(t ORDER BY position) AS t FROM d WHERE NOT blank GROUP BY ALL)
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY p) AS INTEGER) AS paragraph,
+  list_reduce(t, lambda x, y: CASE WHEN regexp_matches(x, '\pL-$') AND regexp_matches(y, '^\pL') THEN x[:-2] || y ELSE x || ' ' || y END) AS text FROM h""",
 )
-def layout_reading_order(spark, sf_dir):
-    """WN-20, SL-10: bands, then columns, then down."""
-    return layout.reading_order(_boxes(spark, sf_dir), F.lit(595.0)).select("doc_id", "page", "item_id", "band", F.col("position").cast("long").alias("position"))
+def layout_paragraphs(spark, sf_dir):
+    """WN-19: lines in reading order become paragraphs; headings, tables and code stand alone."""
+    return layout.paragraphs(_in_order(spark, sf_dir))
+
+
+def _trims(passes: int = 4) -> str:
+    """Looks at the masks pass by pass; in each, boxes that meet none are free, the others are cut to a band or dropped."""
+    out = []
+    for k in range(passes):
+        out.append(f"""h{k} AS (SELECT r.item_id, any_value(r) AS r, min(m.x0) AS bx0, min(m.y0) AS by0, max(m.x1) AS bx1, max(m.y1) AS by1, count(m.item_id) AS n FROM r{k} r LEFT JOIN masks m
+  ON m.doc_id = r.doc_id AND m.page = r.page AND least(m.x1, r.x1) > greatest(m.x0, r.x0) AND least(m.y1, r.y1) > greatest(m.y0, r.y0) GROUP BY r.item_id),
+w{k} AS (SELECT r.*, unnest([{{'i': 1, 'b': [r.x0, r.y0, r.x1, by0]}}, {{'i': 2, 'b': [r.x0, by1, r.x1, r.y1]}}, {{'i': 3, 'b': [r.x0, r.y0, bx0, r.y1]}}, {{'i': 4, 'b': [bx1, r.y0, r.x1, r.y1]}}]) AS c
+  FROM h{k} WHERE n > 0 AND NOT (bx0 <= r.mx AND r.mx < bx1 AND by0 <= r.my AND r.my < by1)),
+v{k} AS (SELECT *, c.b AS b, (c.b[3] - c.b[1]) * (c.b[4] - c.b[2]) AS area, row_number() OVER (PARTITION BY item_id ORDER BY (c.b[3] - c.b[1]) * (c.b[4] - c.b[2]) DESC, c.i) AS best FROM w{k}
+  WHERE c.b[3] - c.b[1] >= 36 AND c.b[4] - c.b[2] >= 36 AND c.b[1] <= mx AND mx < c.b[3] AND c.b[2] <= my AND my < c.b[4]),
+r{k + 1} AS (SELECT item_id, doc_id, page, b[1] AS x0, b[2] AS y0, b[3] AS x1, b[4] AS y1, mx, my, core FROM v{k} WHERE best = 1 AND area >= 0.25 * (x1 - x0) * (y1 - y0) AND area >= 0.25 * core)""")
+    return ",\n".join(out)
+
+
+_TRIMMED = f"""{_BOXES.replace("CAST(l_linenumber AS BIGINT)", _UNIQUE)}, u AS (SELECT doc_id, 0 AS page, item_id, size, x0, y0, x1, y1 FROM b), masks AS (SELECT * FROM u WHERE size % 3 = 0),
+r0 AS (SELECT item_id, doc_id, page, x0 - 60 AS x0, y0 - 60 AS y0, x1 + 60 AS x1, y1 + 60 AS y1, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, greatest((x1 - x0) * (y1 - y0), 1) AS core FROM u WHERE size % 3 <> 0),
+{_trims()}"""
+
+
+@register("layout_free_boxes", f"WITH {_TRIMMED} " + " UNION ALL ".join(f"SELECT r.item_id, r.x0, r.y0, r.x1, r.y1 FROM h{k} WHERE n = 0" for k in range(4)))
+def layout_free_boxes(spark, sf_dir):
+    """MH-06: boxes, grown by a margin, cut back to what no table of their order covers; those that can't be are left out."""
+    box = lambda d: F.struct((F.col("x0") - d).alias("x0"), (F.col("y0") - d).alias("y0"), (F.col("x1") + d).alias("x1"), (F.col("y1") + d).alias("y1"))
+    b = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in (_BOX | {"item_id": _UNIQUE}).items()])
+    masks = b.where("size % 3 = 0").groupBy("doc_id").agg(F.collect_list(box(0)).alias("masks"))
+    wanted = b.where("size % 3 <> 0").join(masks, "doc_id", "left").withColumn("masks", F.coalesce("masks", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")))
+    return wanted.select("item_id", layout.free_of_masks(box(60), box(0), F.col("masks")).alias("r")).where("r IS NOT NULL").select("item_id", "r.*")
 
 
 @register("layout_captions")
 def layout_captions(spark, sf_dir):
-    """JN-17: the nearest free caption of each table; a greedy choice a page, compared with a plain loop in the tests."""
+    """JN-17: the nearest free caption of each table with what continues it; a greedy choice a page."""
     b = _boxes(spark, sf_dir)
     return layout.nearest_captions(b.where("size > 25").withColumnRenamed("item_id", "table_id").select("doc_id", "page", "table_id", "x0", "y0", "x1", "y1"), b.select("doc_id", "page", "text", "x0", "y0", "x1", "y1"))
 
@@ -583,11 +671,20 @@ def merged_segments(spark, sf_dir):
     return lines.merge_short(parts, "doc_id", 3)
 
 
-@register("stitched_pages", "SELECT o_orderkey AS doc_id, 'amplifier goes on.' || chr(10) || chr(10) || 'New ' || o_orderstatus AS text FROM orders")
+@register(
+    "stitched_pages",
+    r"""WITH p AS (SELECT doc_id, list_filter(list_transform(range(0, length(text) // 300 + 1), lambda i: regexp_replace(substr(text, CAST(i * 300 + 1 AS BIGINT), 300), '^[\s\x0B\x1C-\x1F\x{85}\pZ]+|[\s\x0B\x1C-\x1F\x{85}\pZ]+$', '', 'g')), lambda t: t <> '') AS pages FROM documents WHERE text IS NOT NULL)
+       SELECT doc_id, list_reduce(pages, lambda x, y: CASE
+         WHEN regexp_matches(regexp_extract(x, '([^\n]*)$', 1), '^\s*(\||```)') OR regexp_matches(y, '^(\||```|#)') THEN x || chr(10) || chr(10) || y
+         WHEN regexp_matches(x, '\pL-$') AND regexp_matches(y, '^\pL') THEN x[:-2] || y
+         WHEN regexp_matches(x, '[^.!?:;]$') AND regexp_matches(y, '^\p{Ll}') THEN x || ' ' || y
+         ELSE x || chr(10) || chr(10) || y END) AS text FROM p WHERE len(pages) > 0""",
+)
 def stitched_pages(spark, sf_dir):
-    """WN-11, WN-19: pages become one text: hyphens join, open sentences go on, others end a paragraph."""
-    pages = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "posexplode(array('ampli-', 'fier goes', 'on.', '', concat('New ', o_orderstatus))) AS (page, text)")
-    return lines.stitched_pages(pages, "doc_id")
+    """WN-11: documents cut into pages of 300 characters become one text again: open sentences go on, others end a paragraph."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 300).cast("int")), lambda i: F.substr("text", i * 300 + 1, F.lit(300)))
+    return lines.stitched_pages(docs.select("doc_id", F.posexplode(cut).alias("page", "text")), "doc_id")
 
 
 @register(

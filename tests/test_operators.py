@@ -123,11 +123,6 @@ def test_short_segments_merge(spark):
     assert got == [(1, "cover / preface / one / index", 1, 10), (2, "only", 1, 1)]
 
 
-def test_pages_are_stitched(spark):
-    pages = spark.createDataFrame([(1, 2, "istor works well."), (1, 1, "The trans-"), (1, 3, "New part"), (1, 4, None)], "doc long, page int, text string")
-    assert lines.stitched_pages(pages, "doc").first().text == "The transistor works well.\n\nNew part"
-
-
 def test_boxes(spark):
     boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 1.0, 1.0, 9.0, 9.0), (1, 3, 20.0, 0.0, 30.0, 10.0), (1, 4, 500.0, 0.0, 510.0, 9.0)], "page int, box_id int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(r.box_id for r in lines.suppressed_boxes(boxes, ["page"]).collect()) == [1, 3, 4]
@@ -262,13 +257,6 @@ def test_stream_upserts(spark, tmp_path):
     assert sorted((r.id, r.v) for r in incremental.current(spark, target, ["id"], ["at"]).collect()) == [(1, "c"), (2, "b")]
 
 
-def test_captions(spark):
-    box = "doc_id long, page long, {}, x0 double, y0 double, x1 double, y1 double"
-    found = spark.createDataFrame([(1, 1, 1, 100.0, 100.0, 300.0, 200.0), (1, 1, 2, 100.0, 110.0, 300.0, 220.0), (1, 2, 3, 0.0, 0.0, 9.0, 9.0), (2, 1, 4, 0.0, 0.0, 9.0, 9.0)], box.format("table_id long"))
-    blocks = spark.createDataFrame([(1, 1, "Table 1: near", 100.0, 85.0, 200.0, 95.0), (1, 1, "Fig. 2 beside", 60.0, 150.0, 90.0, 160.0), (1, 1, "no caption", 100.0, 96.0, 200.0, 99.0), (3, 1, "Table 9", 0.0, 0.0, 1.0, 1.0)], box.format("text string"))
-    assert sorted((r.table_id, r.caption) for r in layout.nearest_captions(found, blocks).collect()) == [(1, "Table 1: near"), (2, "Fig. 2 beside"), (3, None), (4, None)]
-
-
 def test_html_keeps_code_and_passes_over_nested_parts(spark):
     html = "<div class='navbox'><div>x</div>gone</div><p>a<script>b</script></p><pre><code class='language-c'>if (a &lt; b) <b>c</b>;</code></pre><p>x <code>y<i>z</i></code> <span class='math-container'>e=1</span></p>"
     got = one(spark, html_markdown.wiki_markdown(F.col("t"), F.lit("")), t=html)
