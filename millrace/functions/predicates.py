@@ -89,11 +89,15 @@ def question_instruction(title: Column, tags: Column, body: Column) -> Column:
     return F.concat_ws("\n\n", title, F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(tags, ", "))), F.nullif(strip(F.coalesce(body, F.lit(""))), F.lit("")))
 
 
+# What tells the language of a code block.
+C_SIGNS = ["#include", "void ", "int ", "uint32_t", "uint16_t", "uint8_t", "struct ", "//", "/*", "dma_", "stdio.h"]
+PYTHON_SIGNS = ["def ", "import ", "class ", "elif ", "self."]
+
+
 def code_language(code: Column) -> Column:
-    """STR-14: python or c by what the code holds; c where nothing tells."""
-    python = code.rlike(r"(?m)^\s*(?:def |import |from \w+ import|class \w+.*:|print\()")
-    c = code.rlike(r"#include|;\s*$|\b(?:void|uint8_t|int main)\b")
-    return F.when(F.coalesce(python & ~c, F.lit(False)), "python").otherwise("c")
+    """STR-14: c if any of its signs occurs, else python if one of its signs does, else c."""
+    holds = lambda signs: F.coalesce(code.rlike("|".join(rf"\Q{x}\E" for x in signs)), F.lit(False))
+    return F.when(~holds(C_SIGNS) & holds(PYTHON_SIGNS), "python").otherwise("c")
 
 
 def comment_text(block: Column) -> Column:
@@ -116,9 +120,9 @@ def with_image_root(markdown: Column, root: str) -> Column:
 
 
 def instruction_text(instruction: Column, given: Column, output: Column) -> Column:
-    """STR-27: a record as plain text for models without a chat template."""
-    asked = F.concat(F.lit("### Instruction:\n"), instruction, F.when(strip(F.coalesce(given, F.lit(""))) != "", F.concat(F.lit("\n\n### Input:\n"), given)).otherwise(""))
-    return F.concat(asked, F.lit("\n\n### Response:\n"), output)
+    """STR-27: a record as plain text for models without a chat template; what is given is a paragraph of the instruction."""
+    asked = F.concat(instruction, F.when(strip(F.coalesce(given, F.lit(""))) != "", F.concat(F.lit("\n\n"), given)).otherwise(""))
+    return F.concat(F.lit("### Instruction:\n"), asked, F.lit("\n\n### Response:\n"), output)
 
 
 def iso_utc(at: datetime | Column) -> Column:

@@ -133,14 +133,7 @@ def first_non_empty(*cs: Column) -> Column:
 
 def ocr_joined(c: Column) -> Column:
     """STR-05, the hyphen tier: a word broken at a line end by a hyphen is joined again."""
-    return F.regexp_replace(c, r"(?U)(\w)-[ \t]*\r?\n[ \t]*(\w)", "$1$2")
-
-
-def without_reasoning(c: Column) -> Column:
-    """STR-07 and STR-21: without think blocks (closed, or open to the end) and the fence around an answer."""
-    out = F.regexp_replace(c, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
-    out = strip(F.regexp_replace(out, r"(?is)<think(?:ing)?>.*\z", ""))
-    return strip(F.regexp_replace(out, r"(?s)\A```[a-zA-Z]*\s*\n(.*?)\n?```\z", "$1"))
+    return F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

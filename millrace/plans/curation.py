@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import json_fields as J
 from millrace.functions import predicates as P
+from millrace.functions import replies as R
 from millrace.functions import text as T
 from millrace.operators import audit, chunking, code_units, enrichment, export, html_markdown, judging, knowledge, layout, lines, spans, tables, vector_search
 from millrace.plans.registry import register, table
@@ -486,7 +487,7 @@ def intake_rules(spark, sf_dir):
     "prompt_rules",
     """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'Verilen koddaki hatayı bul ve düzelt.' ELSE 'Find the fault in the given code and mend it.' END WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'Verilen kod için test yaz.' ELSE 'Write tests for the given code.' END END AS told,
        lang || ' - ' || doc_id AS chain, CASE WHEN doc_id % 2 = 0 THEN lang || chr(10) || chr(10) || 'Tags: a, b' || chr(10) || chr(10) || 'body' ELSE lang || chr(10) || chr(10) || 'body' END AS instruction,
-       '### Instruction:' || chr(10) || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '### Input:' || chr(10) || 'x' ELSE '' END || chr(10) || chr(10) || '### Response:' || chr(10) || source AS record,
+       '### Instruction:' || chr(10) || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'x' ELSE '' END || chr(10) || chr(10) || '### Response:' || chr(10) || source AS record,
        lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```' ELSE '' END AS coded,
        '![a](img/' || doc_id || '.png) ![b](http://h/x.png)' AS images, '2024-01-0' || (1 + doc_id % 9) || 'T00:00:00Z' AS at FROM documents""",
 )
@@ -536,7 +537,7 @@ def text_rules(spark, sf_dir):
         T.strip_line_numbers(F.concat(F.lit("1 "), lang, F.lit("\n 22 "), source)).alias("unnumbered"),
         T.strip_persona(F.concat(F.lit("As a Senior Engineer of note.\n---\n"), lang, F.lit(" text"))).alias("persona"),
         T.ocr_joined(F.concat(lang, F.lit("-\n  "), source)).alias("hyphens"),
-        T.without_reasoning(F.concat(F.lit("<think>so</think>\n```json\n"), source, F.lit("\n```"))).alias("reasoned"),
+        R.without_reasoning(F.concat(F.lit("<think>so</think>\n```json\n"), source, F.lit("\n```"))).alias("reasoned"),
         T.word_token_estimate(F.col("text")).alias("by_words"),
         F.concat(lang, F.lit("|x")).alias("row_text"),
         T.is_table_row(F.when(even, F.concat(lang, F.lit("|x"))).otherwise(F.concat(F.lit("- "), lang, F.lit("|x")))).alias("is_row"),
@@ -544,6 +545,34 @@ def text_rules(spark, sf_dir):
     )
 
 
+_ENDS = r"'^[\s\x0B\x1C-\x1F\x{85}\pZ]+|[\s\x0B\x1C-\x1F\x{85}\pZ]+$', '', 'g'"
+# Replies around a document's text, by doc_id; both sides build them from the same columns.
+_REPLIES = [
+    "concat('<think>', substr(text, 1, 80), '<think>', substr(text, 81, 60), '</think>', substr(text, 141, 60), '</think>', text)",
+    "concat(text, '<think>', substr(text, 1, 80), '</thin')",
+    "concat('<|start_header_id|>', lang, '<|end_header_id|>\n', text, '<|eot_id|>')",
+    "concat('Let me see ', doc_id, '\n# ', lang, '\n', text)",
+    "concat('The user wants ', lang, '\n\n## ', source, '\n', text)",
+    "concat('【', lang, '】<|im_start|>assistant', text, '<|file:a.md:1:1|><|im_end|></think>')",
+]
+_LEFT = ["text", "text", "text", "concat('# ', lang, chr(10), text)", "concat('## ', source, chr(10), text)", "text"]
+
+
+@register("reply_cleaning", f"SELECT doc_id, regexp_replace(CASE doc_id % 6 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(_LEFT))} END, {_ENDS}) AS cleaned FROM documents WHERE text IS NOT NULL")
+def reply_cleaning(spark, sf_dir):
+    """STR-07: replies that hold a document among nested and open reasoning, headers, control tokens and monologues."""
+    replies = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_REPLIES)).replace("\n", "\\n")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").selectExpr("doc_id", f"CASE doc_id % 6 {replies} END AS reply")
+    return docs.select("doc_id", R.clean_reply(F.col("reply")).alias("cleaned"))
+
+
+@register("scan_cleaning")
+def scan_cleaning(spark, sf_dir):
+    """STR-05: documents behind a line of misread and broken words; compared with replacements one after another in the tests."""
+    scanned = F.concat(F.lit("The c1rcu1t of "), F.col("lang"), F.lit(" with AMPL1F1ER "), F.col("doc_id").cast("string"), F.lit(" and transi stor, broken li-\n  nes lik; pin ten, "), F.col("source"), F.lit(". "), F.col("text"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", R.clean_scan(scanned).alias("cleaned"))
+
+
 @register(
     "json_rules",
     """SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_items, lang AS said, '{"a":' || doc_id || '}' AS outer_part, chr(10) || '{"a":"' || lang || '"}' || chr(10) AS healed, CASE WHEN doc_id % 2 = 0 THEN 'x, ' || lang ELSE 'General' END AS tags,

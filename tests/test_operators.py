@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.functions import json_fields as J
-from millrace.functions import predicates
+from millrace.functions import predicates, replies
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking, code_units, export, html_markdown, judging, layout, lines, ranking, spans, tables, training_tokens, vector_search
+from millrace.operators import chunking, code_units, export, html_markdown, judging, lines, ranking, spans, tables, training_tokens, vector_search
 from millrace.plans import registry
 from millrace.sources import records
 from millrace.streaming import incremental
@@ -35,7 +35,7 @@ def test_text_functions(spark):
     assert one(spark, T.strip_line_numbers(F.col("t")), t="1 a\n2 b\nc") == "a\nb\nc"
     assert one(spark, T.slug(F.col("t")), t="  My Big Project ") == "my_big_project"
     assert one(spark, T.ocr_joined(F.col("t")), t="trans-\nistor a - b") == "transistor a - b"
-    assert one(spark, T.without_reasoning(F.col("t")), t="<think>hm</think>```json\n{}\n```") == "{}"
+    assert one(spark, replies.without_reasoning(F.col("t")), t="<think>hm</think>```json\n{}\n```") == "{}"
     assert [one(spark, T.knowledge_gain(F.lit(a), F.lit(b))) for a, b in (("a b", "A B"), ("a", "b"), ("", ""))] == [10, 95, 10]
     assert one(spark, T.preview(F.col("t"), 3), t="abcd") == "abc..."
     assert one(spark, T.first_non_empty(F.lit(None).cast("string"), F.lit("  "), F.lit("x"))) == "x"
