@@ -11,7 +11,7 @@ from millrace.functions import vectors as V
 from millrace.operators import export, judging, lines, tables, training_tokens
 from millrace.plans.registry import register, table
 from millrace.session import shared_dir
-from millrace.streaming import incremental
+from millrace.streaming import incremental, jobs
 
 
 @register(
@@ -49,6 +49,59 @@ def latest_state(spark, sf_dir):
     return last.select("user_id", F.col("event_type").alias("state"), F.col("event_id").isNotNull().alias("seen"))
 
 
+# A log of jobs from the events: 40 queues, a job a user. Seconds since 1970 in the SQL.
+_JOB_LOG = {
+    "queue": "concat('q', user_id % 40)",
+    "at": "ts",
+    "seq": "event_id",
+    "action": "CASE WHEN event_type IN ('signup', 'purchase') THEN 'submit' WHEN event_type = 'error' THEN 'delete' ELSE 'status' END",
+    "job_id": "concat('j', user_id)",
+    "state": "CASE event_type WHEN 'view' THEN 'JOB_STATE_RUNNING' WHEN 'click' THEN 'JOB_STATE_SUCCEEDED' END",
+    "force": "event_type = 'purchase' AND event_id % 5 = 0",
+}
+_TTL = 6 * 3600
+_JOB_SQL = f"""
+WITH log AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _JOB_LOG.items() if c != "at")}, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS tm FROM events),
+lists AS (SELECT queue, list({{'tm': tm, 'seq': seq, 'action': action, 'job_id': job_id, 'state': state, 'force': force}} ORDER BY tm, seq) AS es FROM log GROUP BY queue),
+closed AS (SELECT queue, list_append(es, {{'tm': (SELECT max(tm) FROM log), 'seq': CAST(NULL AS BIGINT), 'action': 'end', 'job_id': '', 'state': CAST(NULL AS VARCHAR), 'force': false}}) AS es FROM lists),
+folded AS (SELECT queue, list_reduce(es, lambda s, e: list_transform([{{
+      'jobs': list_transform(s.jobs, lambda j: CASE WHEN j.active AND j.heard + {_TTL} <= e.tm THEN {{'id': j.id, 'state': 'EXPIRED', 'active': false, 'heard': j.heard + {_TTL}, 'no': j.no}} ELSE j END),
+      'out': s.out || list_sort(list_transform(list_filter(s.jobs, lambda j: j.active AND j.heard + {_TTL} <= e.tm), lambda j: {{'tm': j.heard + {_TTL}, 'no': j.no, 'seq': CAST(NULL AS BIGINT), 'job_id': j.id, 'result': 'expired', 'state': 'EXPIRED'}})),
+      'last': 0}}], lambda t: CASE
+    WHEN e.action = 'end' THEN t
+    WHEN e.action = 'submit' AND NOT e.force AND len(list_filter(t.jobs, lambda j: j.active)) > 0
+      THEN {{'jobs': t.jobs, 'out': t.out || list_transform(list_sort(list_transform(list_filter(t.jobs, lambda j: j.active), lambda j: {{'no': j.no, 'id': j.id, 'state': j.state}}), 'DESC')[1:1], lambda j: {{'tm': e.tm, 'no': 0, 'seq': e.seq, 'job_id': j.id, 'result': 'active_job_exists', 'state': j.state}}), 'last': 0}}
+    WHEN e.action = 'submit'
+      THEN {{'jobs': list_filter(t.jobs, lambda j: j.id <> e.job_id) || [{{'id': e.job_id, 'state': 'PENDING', 'active': true, 'heard': e.tm, 'no': coalesce(list_max(list_transform(t.jobs, lambda j: j.no)), 0) + 1}}],
+             'out': t.out || [{{'tm': e.tm, 'no': 0, 'seq': e.seq, 'job_id': e.job_id, 'result': 'submitted', 'state': 'PENDING'}}], 'last': 0}}
+    WHEN len(list_filter(t.jobs, lambda j: j.id = e.job_id)) = 0
+      THEN {{'jobs': t.jobs, 'out': t.out || [{{'tm': e.tm, 'no': 0, 'seq': e.seq, 'job_id': e.job_id, 'result': 'not_found', 'state': CAST(NULL AS VARCHAR)}}], 'last': 0}}
+    WHEN e.action = 'delete'
+      THEN {{'jobs': list_filter(t.jobs, lambda j: j.id <> e.job_id), 'out': t.out || list_transform(list_filter(t.jobs, lambda j: j.id = e.job_id), lambda j: {{'tm': e.tm, 'no': 0, 'seq': e.seq, 'job_id': j.id, 'result': 'deleted', 'state': j.state}}), 'last': 0}}
+    ELSE {{'jobs': list_transform(t.jobs, lambda j: CASE WHEN j.id = e.job_id AND j.active THEN {{'id': j.id, 'state': CASE e.state WHEN 'JOB_STATE_SUCCEEDED' THEN 'COMPLETED' ELSE e.state END, 'active': e.state <> 'JOB_STATE_SUCCEEDED', 'heard': e.tm, 'no': j.no}} ELSE j END),
+           'out': t.out || list_transform(list_filter(t.jobs, lambda j: j.id = e.job_id), lambda j: {{'tm': e.tm, 'no': 0, 'seq': e.seq, 'job_id': j.id, 'result': CASE WHEN j.active THEN 'updated' ELSE 'unchanged' END,
+             'state': CASE WHEN NOT j.active THEN j.state WHEN e.state = 'JOB_STATE_SUCCEEDED' THEN 'COMPLETED' ELSE e.state END}}), 'last': 0}}
+    END)[1], {{'jobs': CAST([] AS STRUCT(id VARCHAR, state VARCHAR, active BOOLEAN, heard BIGINT, no BIGINT)[]), 'out': CAST([] AS STRUCT(tm BIGINT, no BIGINT, seq BIGINT, job_id VARCHAR, result VARCHAR, state VARCHAR)[]), 'last': 0}}) AS s FROM closed)
+SELECT queue, o.tm AS at_seconds, o.seq AS seq, o.job_id AS job_id, o.result AS result, o.state AS state FROM (SELECT queue, unnest(s.out) AS o FROM folded)"""
+
+
+@register("job_states", _JOB_SQL)
+def job_states(spark, sf_dir):
+    """ST-06: what becomes of every job of the log, with refusals, expiries and deletions."""
+    log = table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in _JOB_LOG.items()])
+    return jobs.replay_jobs(log, _TTL).select("queue", F.unix_timestamp("at").alias("at_seconds"), "seq", "job_id", "result", "state")
+
+
+@register("stream_job_states", _JOB_SQL)
+def stream_job_states(spark, sf_dir):
+    """ST-06: the same by a stream that keeps jobs and waiting events in its state and wakes itself by timers."""
+    base = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    stream = incremental.follow(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    found = jobs.follow_jobs(stream.selectExpr(*[f"{e} AS {c}" for c, e in _JOB_LOG.items()]), _TTL)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(jobs.RESULT).parquet(f"{base}/out").select("queue", F.unix_timestamp("at").alias("at_seconds"), "seq", "job_id", "result", "state")
+
+
 @register(
     "daily_windows",
     "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
