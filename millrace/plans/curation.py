@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import json_fields as J
 from millrace.functions import predicates as P
 from millrace.functions import replies as R
 from millrace.functions import text as T
-from millrace.operators import audit, chunking, code_units, enrichment, export, html_markdown, judging, knowledge, layout, lines, spans, tables, vector_search
+from millrace.operators import audit, brace_units, chunking, code_index, code_units, enrichment, export, html_markdown, judging, knowledge, layout, lines, spans, tables, vector_search
 from millrace.plans.registry import register, table
+from millrace.session import shared_dir
 
 # Boxes and lines of pages, derived from order lines: both sides use the same expressions.
 _BOX = {
@@ -522,6 +525,50 @@ def code_text_rules(spark, sf_dir):
     )
 
 
+# A source file a document: its first characters as a comment and its language in a string, and a number of functions by doc_id.
+_HEAD = r"trim(regexp_replace(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z0-9 ]', ' '{g}), ' +', ' '{g}))"
+_FUNCTIONS = "doc_id % 3 + 1"
+
+
+def _code_file(functions: str) -> str:
+    body = "concat('int f', {i}, '(int a) {{\n  return \"', lang, '}}\";\n}}\n')"
+    parts = ", ".join(f"CASE WHEN {functions} > {i} THEN {body.format(i=i)} ELSE '' END" for i in range(4))
+    return f"concat('// ', {_HEAD.format(g='')}, '\nnamespace n', doc_id, ' {{\n', {parts}, '}}\n')"
+
+
+def _code_units_sql(functions: str, where: str) -> str:
+    """The namespace and the functions of each file, from the same columns."""
+    body = "'int f' || i || '(int a) {' || chr(10) || '  return \"' || lang || '}\";' || chr(10) || '}'"
+    first = f"strlen('// ' || {_HEAD.format(g=', ' + chr(39) + 'g' + chr(39))} || chr(10))"
+    return rf"""SELECT doc_id, 'namespace' AS unit_type, 'n' || doc_id AS name, {_HEAD.format(g=", 'g'")} AS docstring, CAST(2 AS INTEGER) AS lineno, CAST(3 * ({functions}) + 2 AS INTEGER) AS line_count, CAST({first} AS BIGINT) AS byte_offset,
+         sha1('namespace n' || doc_id || ' {{' || chr(10) || list_reduce(list_transform(range(0, {functions}), lambda i: {body} || chr(10)), lambda x, y: x || y) || '}}') AS sha1 FROM documents WHERE {where}
+       UNION ALL SELECT doc_id, 'function', 'f' || i, '', CAST(3 + 3 * i AS INTEGER), CAST(3 AS INTEGER), CAST({first} + strlen('namespace n' || doc_id || ' {{' || chr(10)) + i * (strlen({body.replace("|| i ||", "|| 0 ||")}) + 1) AS BIGINT), sha1({body})
+       FROM (SELECT *, unnest(range(0, {functions})) AS i FROM documents WHERE {where})""".replace("{{", "{").replace("}}", "}")
+
+
+_UNIT_COLUMNS = ["doc_id", "unit_type", "name", "docstring", "lineno", "line_count", "byte_offset", "sha1"]
+
+
+@register("brace_units", _code_units_sql(_FUNCTIONS, "true"))
+def brace_code_units(spark, sf_dir):
+    """UD-14: namespaces and functions of a C++ file made of each document."""
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('src/', doc_id, '.cpp') AS path", f"{_code_file(_FUNCTIONS)} AS text".replace("\n", "\\n"))
+    return brace_units.extract_brace_units(files).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.cpp", 1).cast("long")).select(*_UNIT_COLUMNS)
+
+
+@register("incremental_units", _code_units_sql("CASE WHEN doc_id % 4 = 2 THEN doc_id % 3 + 2 ELSE doc_id % 3 + 1 END", "doc_id % 4 <> 3"))
+def incremental_units(spark, sf_dir):
+    """CP-10, ST-05: the units after three refreshes, of which the second finds a quarter of the files new, changed and gone each."""
+    state = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    rounds = [("doc_id % 4 <> 1", _FUNCTIONS, "1"), ("doc_id % 4 <> 3", "CASE WHEN doc_id % 4 = 2 THEN doc_id % 3 + 2 ELSE doc_id % 3 + 1 END", "CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END")]
+    for where, functions, mtime in [*rounds, rounds[-1]]:
+        text = _code_file(f"({functions})").replace("\n", "\\n")
+        files = docs.where(where).selectExpr("concat('src/', doc_id, '.cpp') AS path", f"CAST({mtime} AS DOUBLE) AS mtime", f"CAST(octet_length({text}) AS BIGINT) AS size", f"{text} AS text")
+        code_index.refresh(files, state, code_index.Settings(languages=("cpp",)))
+    return code_index.current_units(spark, state).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.cpp", 1).cast("long")).select(*_UNIT_COLUMNS)
+
+
 @register(
     "text_rules",
     r"""SELECT doc_id, lower(replace(lang || ' ' || source, ' ', '_')) AS slug, lang || chr(10) || source AS unnumbered, lang || ' text' AS persona, lang || source AS hyphens, source AS reasoned,
