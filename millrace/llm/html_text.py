@@ -5,8 +5,11 @@ boilerplate (menus, footers, sidebars, notices, adverts, forms, comments) negati
 part of the greatest sum: the content region. Its blocks are the result, without the boilerplate parts inside it.
 
 Weights come from labelled pages: pages that mark their article themselves with a single ``article`` or ``main`` element.
-A word's weight depends on whether it stands in a link or list; a tag's weight is the log-odds of being met inside rather
-than outside of marked articles, kept negative. The marks themselves are where content ends, so they cost most. A part is
+They are read as if the mark weren't there, so what is learned holds for pages without marks too. A block is prose if its
+words outside of links are no fewer than those in links. Words in a prose block are plain words, whether linked or not; a
+tag counts by the block that it opens, closes or stands in: tags of prose cost next to nothing, so links in running text
+can't cut an article, and tags of blocks of links cost the log-odds of being met inside rather than outside of articles. On
+pages with marks these are where content ends, so they cost most, and tags inside a mark cost nothing. A part is
 boilerplate if its evidence is negative: what its tag, role and names say before anything is learned (a name counts only if
 all of its parts are of that kind, so ``related-posts`` does and ``related-work`` doesn't), plus the learned log-odds of its
 class and id names. A list of little but links is boilerplate outside of marked articles. No evidence holds against a part
@@ -38,6 +41,8 @@ SAMPLE_PAGES, SAMPLE_PAGE_BYTES = 2000, 64 << 10
 WRAPPER, MENU = 0.5, 0.8
 #: Pages in which a class or id name must be met to be learned, and evidence below which a part is boilerplate.
 NAME_PAGES, BOILERPLATE = 5, -1.0
+#: What a tag costs at least, a tag of prose at most, and an inline tag of a block of links at most.
+LEAST_COST, PROSE_COST, INLINE_COST = -0.02, -0.2, -0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
@@ -108,6 +113,7 @@ class Token:
     mark: bool
     breaks: bool
     raw: str = ""
+    linked: bool = False
 
 
 def _read(page: str) -> list[tuple[str, bool, str, str]]:
@@ -152,11 +158,38 @@ def _extents(raw: list[tuple[str, bool, str, str]]) -> tuple[dict[int, int], lis
     return end, words, linked, heads
 
 
-def tokens(page: str, learned: dict[str, float] | None = None) -> list[Token]:
-    """The page's text runs and tags; ``learned`` has the evidence of class and id names."""
+def _by_block(ts: list[Token]) -> list[Token]:
+    """The tokens with kinds that tell tags of prose from tags of blocks of links: a block's own, those that open it, and
+    those that close it."""
+    prose: list[bool | None] = []  # of each token's block, None where it has no words
+    start = 0
+    for i in range(len(ts) + 1):
+        if i < len(ts) and not ts[i].breaks:
+            continue
+        plain, linked = (sum(len(t.text.split()) for t in ts[start:i] if t.linked == x) for x in (False, True))
+        prose += [plain >= linked if plain + linked else None] * (i - start)
+        if i < len(ts):
+            prose.append(None)
+        start = i + 1
+    after: list[bool | None] = [None] * (len(ts) + 1)
+    for i in range(len(ts) - 1, -1, -1):
+        after[i] = prose[i] if prose[i] is not None else after[i + 1]
+    before: bool | None = None
+    for i, t in enumerate(ts):
+        before = prose[i] if prose[i] is not None else before
+        if not t.name:
+            t.kind = "word" if t.kind == "word:link" and prose[i] else t.kind
+        elif (before if t.kind.startswith("/") and t.breaks else after[i] if t.breaks else prose[i]) is False:
+            t.kind += ":links"
+    return ts
+
+
+def tokens(page: str, learned: dict[str, float] | None = None, unmarked: bool = False) -> list[Token]:
+    """The page's text runs and tags; ``learned`` has the evidence of class and id names. ``unmarked``: as if the page had no
+    article or main elements; tokens inside still carry the mark."""
     raw = _read(page)
     end, words, linked, heads = _extents(raw)
-    strong = {i for i, (name, closing, _, _) in enumerate(raw) if name in ("h1", "article", "main") and not closing}
+    strong = {i for i, (name, closing, _, _) in enumerate(raw) if name in (("h1",) if unmarked else ("h1", "article", "main")) and not closing}
     out: list[Token] = []
     marks = links = items = 0
     until = -1  # the closing tag of the boilerplate part that is open
@@ -171,13 +204,17 @@ def tokens(page: str, learned: dict[str, float] | None = None) -> list[Token]:
 
     def menu(i: int, name: str) -> bool:
         n = inside(i, words)
-        return name in ("ul", "ol", "menu", "dir") and not marks and n >= 3 and inside(i, linked) >= MENU * n
+        return name in ("ul", "ol", "menu", "dir") and (unmarked or not marks) and n >= 3 and inside(i, linked) >= MENU * n
 
     for i, (name, closing, attributes, text) in enumerate(raw):
         if not name:
-            out.append(Token("", text, "word:link" if links else "word:item" if items else "word", i < until, bool(marks), False))
+            out.append(Token("", text, "word:link" if links else "word:item" if items else "word", i < until, bool(marks), False, linked=bool(links)))
             continue
         breaks = name not in _INLINE
+        if unmarked and name in _MARKS and until < 0:
+            marks = max(0, marks + (-1 if closing else 1))
+            out.append(Token(name, "", "mark", False, bool(marks), breaks))
+            continue
         if name in _RAW and attributes == "/":
             out.append(Token(name, "", name, True, bool(marks), breaks))
             continue
@@ -186,7 +223,7 @@ def tokens(page: str, learned: dict[str, float] | None = None) -> list[Token]:
             out.append(Token(name, "", f"/{name}", True, bool(marks), breaks))
             continue
         if until < 0 and not closing and name not in _VOID and not attributes.rstrip().endswith("/"):
-            against = _evidence(name, attributes, bool(marks), learned or {}) < BOILERPLATE
+            against = _evidence(name, attributes, bool(marks) and not unmarked, learned or {}) < BOILERPLATE
             if (against and not wraps(i, name)) or menu(i, name):
                 until = end.get(i, -1)
                 out.append(Token(name, "", name, True, bool(marks), breaks, attributes))
@@ -198,7 +235,7 @@ def tokens(page: str, learned: dict[str, float] | None = None) -> list[Token]:
         elif name in ("li", "td", "dd", "dt"):
             items = max(0, items + (-1 if closing else 1))
         out.append(Token(name, "", f"/{name}" if closing else name, until >= 0, bool(marks), breaks, "" if closing else attributes))
-    return out
+    return _by_block(out)
 
 
 @dataclass
@@ -208,6 +245,7 @@ class Weights:
     word: dict[str, float] = field(default_factory=lambda: {"word": 1.0, "word:item": 0.6, "word:link": 0.2})
     tag: dict[str, float] = field(default_factory=lambda: {f"{end}{n}": -0.05 for n in _RUNNING for end in ("", "/")})
     unknown_tag: float = -0.5
+    link_tag: float = -1.0
     dead_word: float = -0.05
     dead_tag: float = -0.3
     mark: float = -60.0
@@ -215,7 +253,7 @@ class Weights:
 
     def of(self, t: Token) -> float:
         """A token's score. Boilerplate inside a marked article doesn't count: what follows it is still the article."""
-        if t.dead and t.mark:
+        if t.kind == "mark" or (t.dead and t.mark):
             return 0.0
         if not t.name:
             n = len(t.text.split())
@@ -224,28 +262,34 @@ class Weights:
             return self.dead_tag
         if t.name in _MARKS:
             return self.mark
-        return self.tag.get(t.kind, self.unknown_tag)
+        if t.mark:
+            return 0.0
+        of_links = t.kind.endswith(":links")
+        return self.tag.get(t.kind, INLINE_COST if of_links and not t.breaks else self.link_tag if of_links else self.unknown_tag)
 
 
 def learn(pages: list[list[Token]]) -> Weights:
-    """Weights from the pages among ``pages`` that mark exactly one article."""
+    """Weights from the pages among ``pages`` (tokens of unmarked reading) that mark exactly one article."""
     inside: Counter = Counter()
     outside: Counter = Counter()
     named: dict[bool, Counter] = {True: Counter(), False: Counter()}  # pages with a name inside and outside of their article
     for page in pages:
-        if sum(t.name in _MARKS and t.kind[0] != "/" and not t.dead for t in page) != 1:
+        if sum(t.kind == "mark" and t.mark for t in page) != 1:
             continue
         for where in (True, False):
             named[where].update({n.lower() for t in page if t.raw and t.mark == where for n in _names(_attributes(t.raw))})
         for t in page:
-            if t.name not in _MARKS:
+            if t.kind != "mark":
                 (inside if t.mark and not t.dead else outside)[t.kind] += len(t.text.split()) if not t.name else 1
     weights = Weights()
-    words = {k: math.log((inside[k] + 1) / (outside[k] + 1)) for k in weights.word if inside[k] + outside[k] >= 20}
-    weights.word.update({k: min(1.5, max(0.1, v)) for k, v in words.items()})
+    odds = lambda k: math.log((inside[k] + 1) / (outside[k] + 1))
+    weights.word.update({k: min(1.5, max(0.1, odds(k))) for k in weights.word if inside[k] + outside[k] >= 20})
+    weights.word["word"] = max(1.0, weights.word["word"])
     for k in {*inside, *outside} - {*weights.word}:
         if inside[k] + outside[k] >= 5:
-            weights.tag[k] = min(-0.02, max(-4.0, math.log((inside[k] + 1) / (outside[k] + 1))))
+            of_links, inline = k.endswith(":links"), k.removesuffix(":links").lstrip("/") in _INLINE
+            most = 4.0 if of_links and not inline else INLINE_COST * -1 if of_links else PROSE_COST * -1
+            weights.tag[k] = min(LEAST_COST, max(-most, odds(k)))
     for n in {*named[True], *named[False]}:
         if named[True][n] + named[False][n] >= NAME_PAGES:
             weights.names[n] = min(4.0, max(-4.0, math.log((named[True][n] + 0.5) / (named[False][n] + 0.5))))
@@ -264,11 +308,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The article text of a whole page."""
+def main_text(page: str | None, weights: Weights, unmarked: bool = False) -> str:
+    """The article text of a whole page; ``unmarked``: found without the page's own marks."""
     if not page:
         return ""
-    ts = tokens(page, weights.names)
+    ts = tokens(page, weights.names, unmarked)
     lo, hi = best_region([weights.of(t) for t in ts])
     while lo > 0 and lo < hi and not ts[lo - 1].breaks and not ts[lo - 1].dead:  # whole blocks only
         lo -= 1
@@ -297,7 +341,7 @@ def train(pages: DataFrame) -> Weights:
     if not ids:
         return Weights()
     some = sized.join(F.broadcast(pages.sparkSession.createDataFrame([(i,) for i in ids], "page_id long")), "page_id", "left_semi")
-    return learn([tokens(r.html) for r in some.groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").toLocalIterator()])
+    return learn([tokens(r.html, unmarked=True) for r in some.groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").toLocalIterator()])
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:

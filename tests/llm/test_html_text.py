@@ -85,9 +85,76 @@ def test_table(spark, small):
         assert rows[r.page_id].text == want and rows[r.page_id].n_chars == len(want)
 
 
+@pytest.fixture(scope="module")
+def learned(spark, small):
+    return html_text.train(spark.read.parquet(f"{small}/pages.parquet"))
+
+
+LINK = "<a href=x>linked</a>"
+
+
+@pytest.mark.parametrize("mark", ["main", "article", "div"])
+def test_links_in_prose_do_not_cut(learned, mark):
+    """With weights learned from a table in which links stand in menus only."""
+    short = "".join(f"<p>para {i} {LINK} and {LINK}</p>" for i in range(5))
+    pages = [
+        (f"<h1>The title</h1>{short}<p>{'word ' * 30}</p>", ["The title", *(f"para {i} linked and linked" for i in range(5)), ("word " * 30).strip()]),
+        (f"<h1>A title</h1><p>By {LINK}</p><p>{'word ' * 30}</p><p>one {LINK} two {LINK} three {LINK}</p><p>{'end ' * 12}</p>", ["A title", "By linked", ("word " * 30).strip(), "one linked two linked three linked", ("end " * 12).strip()]),
+        (f"<p>{'alpha ' * 20}</p><ul>{'<li>an item of a list with words</li>' * 12}</ul><p>{'omega ' * 15}</p>", [("alpha " * 20).strip(), *["an item of a list with words"] * 12, ("omega " * 15).strip()]),
+    ]
+    for body, want in pages:
+        page = f"<body><nav><ul>{f'<li>{LINK}</li>' * 8}</ul></nav><{mark}>{body}</{mark}><footer>foot</footer></body>"
+        assert html_text.main_text(page, learned).split("\n") == want
+        assert html_text.main_text(page, W).split("\n") == want
+
+
+def test_linked_items_inside_a_mark_stay(learned):
+    page = f"<main><p>{'alpha ' * 20}</p><ul>{f'<li>{LINK}</li>' * 12}</ul><p>{'omega ' * 15}</p></main>"
+    for weights in (W, learned):
+        assert html_text.main_text(page, weights).split("\n") == [("alpha " * 20).strip(), *["linked"] * 12, ("omega " * 15).strip()]
+
+
+def test_menus_without_marks_go(learned):
+    """Blocks of links that no name or element gives away end the region."""
+    menu = "".join(f"<div><a href=x>Link {i}</a></div>" for i in range(12))
+    page = f"<body><div>{menu}</div><div><h1>T</h1><p>{P}{P}</p><p>see {LINK} there</p><p>{P}</p></div><div>{menu}</div></body>"
+    for weights in (W, learned):
+        assert html_text.main_text(page, weights).split("\n") == ["T", (P + P).strip(), "see linked there", P.strip()]
+
+
+def test_pages_without_their_marks(spark, small, learned):
+    """What the scan finds without marks is what the marks say."""
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    same = [html_text.main_text(p, learned, unmarked=True) == "\n".join(Article(p).blocks) for p in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nothing_of_a_marked_article_is_lost(learned, seed):
+    rng = random.Random(seed)
+
+    def inline():
+        return rng.choice(["word", "two words", LINK, f"<b>{LINK}</b>", "<em>x</em> y"])
+
+    def block(depth=0):
+        kind = rng.choice(["p", "h2", "div", "ul", "table", "blockquote"])
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(rng.randrange(1, 6))) + "</ul>"
+        if kind == "table":
+            return "<table><tr>" + "".join(f"<td>{inline()}</td>" for _ in range(3)) + "</tr></table>"
+        inner = block(depth + 1) if kind == "div" and depth < 3 else " ".join(inline() for _ in range(rng.randrange(1, 9)))
+        return f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(60):
+        body = "".join(block() for _ in range(rng.randrange(1, 10)))
+        page = f"<body><nav>{LINK * 5}</nav><div class=ad>buy</div><article>{body}</article><footer>f</footer></body>"
+        for weights in (W, learned):
+            assert html_text.main_text(page, weights) == "\n".join(Article(page).blocks)
+
+
 def test_names_are_learned():
     page = f"<div class=zq><p>{P}</p></div><article><p>{P}</p><div class='sidebar'>kept {P}</div></article>"
-    weights = html_text.learn([html_text.tokens(page)] * 20)
+    weights = html_text.learn([html_text.tokens(page, unmarked=True)] * 20)
     assert weights.names["zq"] < html_text.BOILERPLATE < 1 < weights.names["sidebar"]
     assert html_text.main_text(f"<div class=zq><p>{P}</p></div><div><p>{P}</p></div>", weights) == P.strip()
     assert html_text.main_text(page, weights).endswith(f"kept {P.strip()}")
