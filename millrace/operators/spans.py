@@ -62,6 +62,19 @@ def located(text: Column, quote: Column, start: Column | None = None) -> Column:
     return F.when(q == "", F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))).when(at.isNotNull(), exact).when(match.isNotNull(), other).otherwise(F.struct(F.lit(0).alias("start"), F.length(q).alias("stop")))
 
 
+def located_in_order(text: Column, quotes: Column) -> Column:
+    """WN-10, STR-16: array<struct<start, stop>> of an array of quotations: each is looked for from where the one before it was
+    found, and only then in the whole text. One that isn't found, or is found at the very start, moves nothing."""
+    kind = "struct<at:int,found:array<struct<start:int,stop:int>>>"
+
+    def step(acc: Column, quote: Column) -> Column:
+        here = F.transform(F.array(located(text, quote, acc["at"])), lambda x: F.struct(F.when(x["start"] > 0, x["start"]).otherwise(acc["at"]), F.concat(acc["found"], F.array(x))).cast(kind))
+        return here[0]
+
+    nothing = F.struct(F.lit(0), F.array().cast("array<struct<start:int,stop:int>>")).cast(kind)
+    return F.aggregate(quotes, nothing, step, lambda acc: acc["found"])
+
+
 def highlighted(text: Column, spans: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """STR-18, SNK-12: a text with its spans (start_char, end_char) marked, from the right so that positions stay; spans out of
     bounds are left out."""

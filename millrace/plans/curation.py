@@ -12,7 +12,7 @@ from millrace.functions import replies as R
 from millrace.functions import text as T
 from millrace.operators import audit, brace_units, chunking, code_index, code_units, enrichment, export, html_markdown, judging, knowledge, layout, lines, spans, tables, vector_search
 from millrace.plans.registry import register, table
-from millrace.session import shared_dir
+from millrace.session import shared_dir, written
 
 # Boxes and lines of pages, derived from order lines: both sides use the same expressions.
 _BOX = {
@@ -431,16 +431,23 @@ def scan_manifest(spark, sf_dir):
 _CODE = """concat('def f', doc_id, '(a):\n    return a\n\nclass C:\n    x = 1\n\nfor i in y:\n    f(i)\n    g(i)\n\nfor i in y: f(i)\n')"""
 
 
+_PYTHON = "concat('# ', doc_id, '\nclass C', doc_id, ':\n', repeat(concat('    def f(self):\n        return \"', lang, '\"\n'), CAST(doc_id % 4 + 1 AS INT)), CASE WHEN doc_id % 2 = 0 THEN concat('for x in \"', source, '\":\n    print(x)\n    print(1)\n') ELSE '' END)"
+
+
 @register(
     "python_units",
-    """WITH u AS (SELECT unnest([{'t': 'function', 'l': 1, 'n': 2}, {'t': 'class', 'l': 4, 'n': 2}, {'t': 'loop', 'l': 7, 'n': 3}]) AS u)
-       SELECT 'src/' || doc_id || '.py' AS path, u.t AS unit_type, CASE u.t WHEN 'function' THEN 'f' || doc_id WHEN 'class' THEN 'C' ELSE 'loop_L7' END AS name, u.n AS line_count, u.l AS lineno FROM documents, u""",
+    """WITH d AS (SELECT doc_id, source, lang, doc_id % 4 + 1 AS n, 'src/' || doc_id || '.py' AS path FROM documents),
+       u AS (SELECT path, 'class' AS unit_type, 'C' || doc_id AS name, 1 + 2 * n AS line_count, 2 AS lineno, 'class C' || doc_id || ':' || repeat(chr(10) || '    def f(self):' || chr(10) || '        return "' || lang || '"', CAST(n AS INTEGER)) AS code FROM d
+         UNION ALL SELECT path, 'function', 'f', 2, 3 + 2 * i, '    def f(self):' || chr(10) || '        return "' || lang || '"' FROM (SELECT *, unnest(range(0, n)) AS i FROM d)
+         UNION ALL SELECT path, 'loop', 'loop_L' || (3 + 2 * n), 3, 3 + 2 * n, 'for x in "' || source || '":' || chr(10) || '    print(x)' || chr(10) || '    print(1)' FROM d WHERE doc_id % 2 = 0)
+       SELECT path, unit_type, name, CAST(line_count AS INTEGER) AS line_count, CAST(lineno AS INTEGER) AS lineno, sha1(code) AS sha1 FROM u""",
 )
 def python_units(spark, sf_dir):
     """UD-13, FLT-15, CP-10, SRC-10: functions and classes of two lines and loops of three at least."""
-    files = table(spark, sf_dir, "documents").selectExpr("concat('src/', doc_id, '.py') AS path", f"encode(replace({_CODE}, '\n', '\r\n'), 'UTF-8') AS content")
+    text = _PYTHON.replace("\n", "\\n")
+    files = table(spark, sf_dir, "documents").selectExpr("concat('src/', doc_id, '.py') AS path", f"encode(replace({text}, '\\n', '\\r\\n'), 'UTF-8') AS content")
     units = code_units.extract_units(files.select("path", code_units.normalized(F.col("content")).alias("text")))
-    return units.where(P.of_types(F.col("unit_type"), ["function", "class", "loop"])).select("path", "unit_type", "name", "line_count", "lineno")
+    return units.where(P.of_types(F.col("unit_type"), ["function", "class", "loop"])).select("path", "unit_type", "name", "line_count", "lineno", "sha1")
 
 
 @register(
@@ -653,6 +660,23 @@ def located_quotes(spark, sf_dir):
     return found.select("doc_id", F.col("at.start").alias("start"), F.col("at.stop").alias("stop"), spans.highlighted(F.col("t"), marks).alias("marked"))
 
 
+_QUOTED = r"list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+@register(
+    "quotes_in_order",
+    rf"""WITH q AS (SELECT doc_id, text, list_filter([w[4], w[2], w[9], w[2], w[7]], lambda x: x IS NOT NULL) AS q FROM (SELECT doc_id, text, {_QUOTED} AS w FROM documents WHERE text IS NOT NULL)),
+       f AS (SELECT doc_id, list_reduce(q, lambda a, x: list_transform([CASE WHEN instr(substr(text, CAST(a.pos + 1 AS BIGINT)), x) > 0 THEN instr(substr(text, CAST(a.pos + 1 AS BIGINT)), x) - 1 + a.pos ELSE instr(text, x) - 1 END],
+         lambda p: {{'pos': CASE WHEN p > 0 THEN p ELSE a.pos END, 'found': a.found || [{{'start': p, 'stop': p + length(x)}}]}})[1], {{'pos': CAST(0 AS BIGINT), 'found': CAST([] AS STRUCT("start" BIGINT, "stop" BIGINT)[])}}) AS r FROM q)
+       SELECT doc_id, CAST(i AS INTEGER) AS n, CAST(r.found[i].start AS INTEGER) AS start, CAST(r.found[i].stop AS INTEGER) AS stop FROM f, LATERAL (SELECT unnest(range(1, len(r.found) + 1)) AS i)""",
+)
+def quotes_in_order(spark, sf_dir):
+    """WN-10, STR-16: five words of each document, each looked for after the one before."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("w", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    quotes = F.filter(F.array(*[F.get("w", i - 1) for i in (F.lit(4), F.lit(2), F.lit(9), F.lit(2), F.lit(7))]), lambda q: q.isNotNull())
+    return docs.select("doc_id", F.posexplode(spans.located_in_order(F.col("text"), quotes)).alias("n", "s")).select("doc_id", (F.col("n") + 1).alias("n"), "s.start", "s.stop")
+
+
 @register(
     "needs_enrichment",
     "SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 4 <> 3 AS needed FROM documents",
@@ -717,33 +741,60 @@ def path_set(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.concat_ws("/", "source", "lang").alias("path")).distinct().orderBy("path")
 
 
+_SPREAD = f"u AS (SELECT l_orderkey AS page, {_UNIQUE} AS box_id, CAST(l_partkey * 37 % 500 AS DOUBLE) AS x0, CAST(l_suppkey * 53 % 700 AS DOUBLE) AS y0, CAST(l_partkey * 37 % 500 + 5 + l_quantity * {{w}} AS DOUBLE) AS x1, CAST(l_suppkey * 53 % 700 + 5 + l_quantity * {{w}} AS DOUBLE) AS y1 FROM lineitem)"
+
+
+def _spread(spark, sf_dir, w: int):
+    columns = {"page": "l_orderkey", "box_id": _UNIQUE, "x0": "CAST(l_partkey * 37 % 500 AS DOUBLE)", "y0": "CAST(l_suppkey * 53 % 700 AS DOUBLE)"}
+    columns |= {"x1": f"CAST(l_partkey * 37 % 500 + 5 + l_quantity * {w} AS DOUBLE)", "y1": f"CAST(l_suppkey * 53 % 700 + 5 + l_quantity * {w} AS DOUBLE)"}
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
 @register(
     "preference_boxes",
-    """WITH b AS (SELECT o_orderkey AS page, CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS box_id FROM orders) SELECT page, box_id FROM b WHERE box_id IN (0, 2) OR (box_id = 3 AND page % 2 = 1)""",
+    f"""WITH {_SPREAD.format(w=9)}, a AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM u), l AS (SELECT page, list({{'id': box_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area}} ORDER BY area DESC, box_id) AS bs FROM a GROUP BY page),
+       k AS (SELECT page, list_reduce(bs, lambda s, b: CASE WHEN len(list_filter(list_transform(s, lambda o: {{'both': greatest(0.0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0.0, least(o.y1, b.y1) - greatest(o.y0, b.y0)), 'all': o.area + b.area}}),
+           lambda o: o.both > 0 AND (o.both / (o."all" - o.both) > 0.6 OR o.both / b.area > 0.85))) > 0 THEN s ELSE s || [b] END,
+         CAST([] AS STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, area DOUBLE)[])) AS kept FROM l)
+       SELECT page, b.id AS box_id FROM (SELECT page, unnest(kept) AS b FROM k)""",
 )
 def preference_boxes(spark, sf_dir):
     """SET-05, SL-06, MH-05: of boxes that overlap too much the larger one stays."""
-    rows = "explode(array(struct(0L AS box_id, 0D AS x0, 0D AS y0, 100D AS x1, 100D AS y1), struct(1L AS box_id, 5D AS x0, 5D AS y0, 95D AS x1, 95D AS y1), struct(2L AS box_id, 200D AS x0, 0D AS y0, 260D AS x1, 60D AS y1), struct(3L AS box_id, CASE WHEN o_orderkey % 2 = 1 THEN 300D ELSE 201D END AS x0, 0D AS y0, CASE WHEN o_orderkey % 2 = 1 THEN 350D ELSE 259D END AS x1, 59D AS y1)))"
-    boxes = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page", f"{rows} AS b").select("page", "b.*")
-    return lines.suppressed_boxes(boxes, ["page"]).select("page", "box_id")
+    return lines.suppressed_boxes(_spread(spark, sf_dir, 9), ["page"]).select("page", "box_id")
+
+
+def _hull_passes(n: int = 8) -> str:
+    """Each hull takes in all that are near, pass by pass; n passes are enough for n boxes a page."""
+    passes = [
+        f"""h{k + 1} AS (SELECT a.page, a.box_id, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1 FROM h{k} a JOIN h{k} b ON a.page = b.page
+  AND sqrt(power(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + power(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)) < 30 GROUP BY a.page, a.box_id)"""
+        for k in range(n)
+    ]
+    return ",\n".join(passes)
 
 
-@register("grouped_boxes", "SELECT o_orderkey AS page, x0, x1 FROM orders, (SELECT unnest([{'a': 0.0, 'b': 60.0}, {'a': 200.0, 'b': 210.0}]) AS u), LATERAL (SELECT CAST(u.a AS DOUBLE) AS x0, CAST(u.b AS DOUBLE) AS x1)")
+@register("grouped_boxes", f"WITH {_SPREAD.format(w=2)}, h0 AS (SELECT * FROM u), {_hull_passes(12)} SELECT DISTINCT page, x0, y0, x1, y1 FROM h12")
 def grouped_boxes(spark, sf_dir):
     """SET-06, MH-05: boxes closer than thirty points become one hull."""
-    rows = "explode(array(struct(0D AS x0, 0D AS y0, 20D AS x1, 9D AS y1), struct(45D AS x0, 0D AS y0, 60D AS x1, 9D AS y1), struct(200D AS x0, 0D AS y0, 210D AS x1, 9D AS y1)))"
-    boxes = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page", f"{rows} AS b").select("page", "b.*")
-    return lines.grouped_boxes(boxes, ["page"]).select("page", "x0", "x1")
+    return lines.grouped_boxes(_spread(spark, sf_dir, 2), ["page"])
+
+
+_SEGMENTS = f"""SELECT doc_id, 'T' || kind AS title, CAST(upto - n AS BIGINT) AS start, CAST(upto - 1 AS BIGINT) AS stop FROM (
+  SELECT l_orderkey AS doc_id, l_partkey % 30 AS kind, CAST(l_quantity AS BIGINT) % 6 + 1 AS n, SUM(CAST(l_quantity AS BIGINT) % 6 + 1) OVER (PARTITION BY l_orderkey ORDER BY {_UNIQUE} ROWS UNBOUNDED PRECEDING) AS upto FROM {{lineitem}}) AS w"""
+_JOIN_TITLES = "CASE WHEN contains({a}.title, {b}.title) THEN {a}.title ELSE substr({a}.title || ' / ' || {b}.title, 1, 180) END"
+_JOINED = "{{'title': " + _JOIN_TITLES + ", 'start': {a}.start, 'stop': {b}.stop}}"
 
 
 @register(
     "merged_segments",
-    """SELECT o_orderkey AS doc_id, t.title, CAST(t.a AS BIGINT) AS start, CAST(t.b AS BIGINT) AS stop FROM orders, (SELECT unnest([{'title': 'A / B', 'a': 0, 'b': 4}, {'title': 'C / D', 'a': 5, 'b': 12}]) AS t)""",
+    f"""WITH l AS (SELECT doc_id, list({{'title': title, 'start': start, 'stop': stop}} ORDER BY start) AS p FROM ({_SEGMENTS.format(lineitem="lineitem")}) GROUP BY doc_id),
+       f AS (SELECT doc_id, list_reduce(p, lambda s, x: CASE WHEN len(s) > 0 AND s[-1].stop - s[-1].start + 1 < 3 THEN s[:-2] || [{_JOINED.format(a="s[-1]", b="x")}] ELSE s || [x] END, CAST([] AS STRUCT(title VARCHAR, "start" BIGINT, "stop" BIGINT)[])) AS s FROM l),
+       e AS (SELECT doc_id, CASE WHEN len(s) > 1 AND s[-1].stop - s[-1].start + 1 < 3 THEN s[:-3] || [{_JOINED.format(a="s[-2]", b="s[-1]")}] ELSE s END AS s FROM f)
+       SELECT doc_id, x.title AS title, x.start AS start, x.stop AS stop FROM (SELECT doc_id, unnest(s) AS x FROM e)""",
 )
 def merged_segments(spark, sf_dir):
     """WN-06: a short segment takes in the next one, a short last one joins its predecessor."""
-    rows = "explode(array(struct(0L AS start, 0L AS stop, 'A' AS title), struct(1L AS start, 4L AS stop, 'B' AS title), struct(5L AS start, 11L AS stop, 'C' AS title), struct(12L AS start, 12L AS stop, 'D' AS title)))"
-    parts = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{rows} AS s").select("doc_id", "s.*")
+    parts = spark.sql(_SEGMENTS.format(lineitem="{lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
     return lines.merge_short(parts, "doc_id", 3)
 
 
@@ -786,19 +837,13 @@ def chunk_bounds(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{text} AS text"), "doc_id", size=16, overlap=5).select("doc_id", "chunk_index", "total_chunks", "text")
 
 
-@register(
-    "rag_search",
-    "SELECT o_orderkey AS query_id, CAST(1 AS INTEGER) AS rank, o_orderkey || '_chunk_0' AS name FROM orders WHERE o_orderkey < 40",
-)
+@register("rag_search", "SELECT doc_id AS query_id, CAST(1 AS INTEGER) AS rank, 1.0::DOUBLE AS score FROM documents WHERE doc_id % 20 = 0 AND trim(text) <> ''")
 def rag_search(spark, sf_dir):
-    """CP-04, CP-05, UD-09, MH-04, JN-13: orders' own words find the chunk that holds them."""
-    docs = table(spark, sf_dir, "orders").where("o_orderkey < 40").select("o_orderkey", F.concat_ws(" ", F.lit("order number"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")), "o_orderpriority").alias("text"))
+    """CP-04, CP-05, UD-09, MH-04, JN-13: the first chunk of every twentieth document finds itself, or an equal one, among the chunks of all."""
     embed = vector_search.hashed_embedding(512)
-    points = vector_search.index_chunks(chunking.chunk_documents(docs, "o_orderkey"), "o_orderkey", embed)
-    asked = docs.select(F.col("o_orderkey").alias("query_id"), embed("text").alias("vector"))
-    found = vector_search.nearest(points, asked, 1)
-    named = points.select("point_id", F.concat(F.col("o_orderkey").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("name"))
-    return found.join(named, "point_id").select("query_id", "rank", "name")
+    points = written(vector_search.index_chunks(chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", embed), "points")
+    asked = points.where("chunk_index = 0 AND doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    return vector_search.nearest(points, asked, 1).select("query_id", "rank", F.round("score", 3).alias("score"))
 
 
 @register(
