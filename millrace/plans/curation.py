@@ -840,7 +840,7 @@ def chunk_bounds(spark, sf_dir):
 @register("rag_search", "SELECT doc_id AS query_id, CAST(1 AS INTEGER) AS rank, 1.0::DOUBLE AS score FROM documents WHERE doc_id % 20 = 0 AND trim(text) <> ''")
 def rag_search(spark, sf_dir):
     """CP-04, CP-05, UD-09, MH-04, JN-13: the first chunk of every twentieth document finds itself, or an equal one, among the chunks of all."""
-    embed = vector_search.hashed_embedding(512)
+    embed = vector_search.hashed_embedding(96)
     points = written(vector_search.index_chunks(chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", embed), "points")
     asked = points.where("chunk_index = 0 AND doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
     return vector_search.nearest(points, asked, 1).select("query_id", "rank", F.round("score", 3).alias("score"))
