@@ -1,6 +1,7 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
-Records are put in the order of (hash of the text, doc_id). A size-weighted sample of these keys gives
+Records are put in the order of (hash of the text, doc_id, a number of the row). The row's number only parts records that are
+equal in all else, so that many of them needn't be one range; which of them comes first changes nothing. A size-weighted sample of these keys gives
 splitters at its quantiles; ranges that turn out overfull get further splitters from a denser sample.
 Exact range sizes then place every record: shard i holds the records that start in the i-th equal part of
 all bytes, so shards differ by about one record or one small group of equal texts.
@@ -12,6 +13,7 @@ rows are separate records; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from millrace.session import written
 RECORD_BYTES = 16
 #: Leading bits of the key by which splitters are looked up.
 SLICE_BITS = 8
-#: Most ranges, and so most splitters that are ever collected or broadcast (24 bytes each).
+#: Most ranges, and so most splitters that are ever collected or broadcast (32 bytes each).
 MAX_RANGES = 65_536
 _FIRST = -(2**63)
 
@@ -35,42 +37,43 @@ def _record_keys(docs: DataFrame) -> DataFrame:
         F.crc32(text).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("k"),
         F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("d"),
+        F.monotonically_increasing_id().alias("s"),
     )
 
 
-def _draw(keyed: DataFrame, per_byte: float, seed: int) -> list[tuple[int, int]]:
+Cut = tuple[int, int, int]
+
+
+def _draw(keyed: DataFrame, per_byte: float, seed: int) -> list[Cut]:
     """Keys drawn with a chance in proportion to their record's size; their expected number is bounded by the caller."""
-    u = F.pmod(F.xxhash64("k", "d", F.lit(seed)), F.lit(2**40)) / float(2**40)
-    return [(r.k, r.d) for r in keyed.where(u < F.col("size") * F.lit(per_byte)).select("k", "d").collect()]
+    u = F.pmod(F.xxhash64("k", "d", "s", F.lit(seed)), F.lit(2**40)) / float(2**40)
+    return [(r.k, r.d, r.s) for r in keyed.where(u < F.col("size") * F.lit(per_byte)).select("k", "d", "s").collect()]
 
 
-def _order(cut: tuple[int, int]) -> tuple[int, int, int]:
-    k, d = cut
-    return (k >> (64 - SLICE_BITS)) & ((1 << SLICE_BITS) - 1), k, d
+def _order(cut: Cut) -> tuple[int, int, int, int]:
+    return (cut[0] >> (64 - SLICE_BITS)) & ((1 << SLICE_BITS) - 1), *cut
 
 
-def _cuts(sample: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Quantiles of a sample. A key that fills one quantile at most isn't divided: equal texts stay together."""
+def _cuts(sample: list[Cut], n: int) -> list[Cut]:
+    """Quantiles of a sample. A key that fills one quantile at most isn't divided: equal texts, and equal rows, stay together."""
     ordered = sorted(sample, key=_order)
     picked = [ordered[len(ordered) * i // n] for i in range(1, n)] if len(ordered) >= n > 1 else ordered
-    often: dict[int, int] = {}
-    for k, _ in picked:
-        often[k] = often.get(k, 0) + 1
-    return sorted({(k, d if often[k] > 1 else _FIRST) for k, d in picked}, key=_order)
+    texts, rows = Counter(k for k, _, _ in picked), Counter((k, d) for k, d, _ in picked)
+    return sorted({(k, d if texts[k] > 1 else _FIRST, s if rows[k, d] > 1 else _FIRST) for k, d, s in picked}, key=_order)
 
 
-def _range_of(keyed: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+def _range_of(keyed: DataFrame, cuts: list[Cut]) -> DataFrame:
     """Adds range_id, the number of splitters at or below a record's key. The splitters are broadcast: MAX_RANGES at most."""
     slices: list[list] = [[] for _ in range(1 << SLICE_BITS)]
-    for k, d in cuts:
-        slices[_order((k, d))[0]].append({"k": k, "d": d})
+    for k, d, s in cuts:
+        slices[_order((k, d, s))[0]].append({"k": k, "d": d, "s": s})
     below, rows = 0, []
     for i, cs in enumerate(slices):
         rows.append({"slice": i, "below": below, "cuts": cs})
         below += len(cs)
-    schema = "array<struct<slice:int,below:int,cuts:array<struct<k:bigint,d:bigint>>>>"
+    schema = "array<struct<slice:int,below:int,cuts:array<struct<k:bigint,d:bigint,s:bigint>>>>"
     lookup = keyed.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-    own = F.struct(F.col("k"), F.col("d"))
+    own = F.struct(F.col("k"), F.col("d"), F.col("s"))
     return (
         keyed.withColumn("slice", F.shiftrightunsigned("k", 64 - SLICE_BITS).cast("int"))
         .join(F.broadcast(lookup), "slice")
@@ -99,7 +102,7 @@ def shard_by_bytes(
     overfull = {r.range_id: r.bytes for r in full.collect()}
     if overfull:
         within = placed.where(F.col("range_id").isin(list(overfull)))
-        more = _draw(within.select("k", "d", "size"), samples_per_range / due, seed + 1)
+        more = _draw(within.select("k", "d", "s", "size"), samples_per_range / due, seed + 1)
         extra = min(MAX_RANGES // 2, int(sum(overfull.values()) / due) + 1)
         cuts = sorted({*cuts, *_cuts(more, extra)}, key=_order)
         placed = _range_of(keyed, cuts)
@@ -112,7 +115,7 @@ def shard_by_bytes(
         b, n = b + r.bytes, n + r.rows
     starts = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(offsets)), "array<struct<range_id:int,b0:bigint,n0:bigint>>")))
 
-    in_order = Window.partitionBy("range_id").orderBy("slice", "k", "d")
+    in_order = Window.partitionBy("range_id").orderBy("slice", "k", "d", "s")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
     group = Window.partitionBy("range_id", "k")
     start = F.col("b0") + F.sum("size").over(so_far) - F.col("size")

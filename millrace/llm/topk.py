@@ -25,6 +25,8 @@ from millrace.session import written
 
 #: Rows in a part at most, about, and queries that visit it at a time: what a task holds.
 PART_ROWS, QUERY_BLOCK = 131_072, 8192
+#: Bytes of a part's or a block's vectors at most, about.
+PART_BYTES = 128 << 20
 #: Rows and queries that are multiplied at a time.
 ROW_STEP, QUERY_STEP = 2048, 1024
 #: Bins of a round's histogram.
@@ -85,16 +87,19 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``rows`` (id, v) for each of ``queries`` (id, v)."""
     spark = rows.sparkSession
     queries, rows = written(queries, "topk-queries"), written(rows, "topk-rows")
-    n_q, n_r = queries.count(), rows.count()
-    parts = max(1, min(n_r, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_r // PART_ROWS))))
-    blocks = max(1, -(-n_q // QUERY_BLOCK))
-    number = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    sized = [df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first() for df in (queries, rows)]
+    (n_q, n_r), width = (x.n for x in sized), max(x.width for x in sized)
+    held = max(1, PART_BYTES // (8 * max(1, width)))
+    parts = max(1, min(n_r, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_r // min(PART_ROWS, held)))))
+    blocks = max(1, -(-n_q // min(QUERY_BLOCK, held)))
+    number = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Pairs of a part and a query block are the groups, never pairs of rows.
-    dealt = rows.withColumn("part", number(1, parts)).withColumn("block", every(blocks)).groupBy("part", "block")
+    # Rows are dealt by their place in the written table, so those of one id don't meet.
+    dealt = rows.withColumn("part", number(parts, F.monotonically_increasing_id())).withColumn("block", every(blocks)).groupBy("part", "block")
 
     def visits(state: DataFrame):
-        return state.withColumn("block", number(2, blocks)).withColumn("part", every(parts)).groupBy("part", "block").cogroup(dealt)
+        return state.withColumn("block", number(blocks, "id", "copy_no")).withColumn("part", every(parts)).groupBy("part", "block").cogroup(dealt)
 
     def ends(q: pa.Table, r: pa.Table) -> pa.Table:
         lo, hi, n = np.full(len(q), _SPAN.max), np.full(len(q), _SPAN.min), np.zeros(len(q), dtype=np.int64)

@@ -47,6 +47,18 @@ def test_shard_edge_rows(spark):
     assert sharding.shard_by_bytes(docs.limit(0), 3).collect() == []
 
 
+def test_equal_rows_are_divided(spark):
+    """Rows that are equal in all are no single range, and still make shards of equal bytes."""
+    docs = spark.createDataFrame([(5, "one row of all")] * 3000 + [(i, f"text {i}") for i in range(6000)], "doc_id long, text string").repartition(4)
+    rows = sharding.shard_by_bytes(docs, 6, rows_per_range=200).collect()
+    sizes = check_shards(rows, [r.text for r in docs.collect()], 6)
+    assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 6 + 60
+    ranges = defaultdict(int)
+    for r in rows:
+        ranges[r.range_id] += 1
+    assert max(ranges.values()) < 1200
+
+
 def test_sharding_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     rows = queries.op1_sharding(spark, small).collect()
@@ -140,3 +152,17 @@ def test_vectors_that_take_no_part(spark):
 def test_repeated_rows(spark):
     rows = [(1, [1.0]), (1, [1.0]), (2, [1.0]), (2, [2.0]), (3, [1.0])]
     assert top(spark, [(1, [1.0]), (1, [1.0])], rows, 5) == sorted([(1, 1, 2, 2), (1, 2, 2, 1), (1, 3, 3, 1)] * 2)
+
+
+def test_one_id_in_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART_BYTES", 8 * 3 * 50)
+    rng = random.Random(8)
+    rows = [(50, [float(rng.randrange(9)) for _ in range(3)]) for _ in range(150)] + [(i, [float(rng.randrange(9)) for _ in range(3)]) for i in range(51, 350)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = topk.exact_top_k(df.where("id % 100 = 0"), df, 4).collect()
+    want = []
+    for q, v in rows:
+        if q % 100 == 0:
+            best = sorted((-int(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
