@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.simhash import HOT_KEYS, HOT_ROWS
 from millrace.session import written
 
 CAPACITY = 8192
@@ -128,10 +129,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     folded = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("size"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64(folded).alias("cluster"), F.xxhash64(text).alias("own"))
-    rows = written(rows, "pack-sizes")
+    rows = written(rows.withColumns({"same": F.xxhash64("doc_id", "own", F.lit(3)), "row": F.monotonically_increasing_id()}), "pack-sizes")
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     packs = max(1, -(-(total.b or 0) // PACK_UNITS), -(-total.n // PACK_ROWS))
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "own", F.lit(3)), F.lit(packs)).cast("int"))
+    # Rows that are repeated very often go to all packs; at most HOT_KEYS are, as each has more than this part of all rows.
+    hot = rows.groupBy("same").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, total.n // HOT_KEYS)).select("same", F.lit(True).alias("hot"))
+    spread = rows.join(F.broadcast(hot), "same", "left")
+    key = F.when(F.col("hot"), F.xxhash64("same", "row")).otherwise(F.col("same"))
+    rows = spread.select("doc_id", "size", "source", "cluster", "own", F.pmod(key, F.lit(packs)).cast("int").alias("pack"))
 
     def fill(pack: pa.Table) -> pa.Table:
         size = pack.column("size").to_numpy()

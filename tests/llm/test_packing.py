@@ -1,6 +1,7 @@
 """Packing against a plain best-fit, and the rules that every bin must keep."""
 
 import random
+from collections import Counter
 from collections import defaultdict
 
 import pytest
@@ -88,3 +89,13 @@ def test_packs_follow_from_the_table(spark, small):
         assert sorted(map(str, packing.pack_documents(docs).collect())) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_equal_rows_are_spread_over_packs(spark, monkeypatch):
+    """A third of all rows are one row: they don't make one pack."""
+    monkeypatch.setattr(packing, "PACK_ROWS", 400)
+    rows = [(7, "one row " * 3, "s")] * 1200 + [(i, f"text {i} " * (i % 9 + 1), f"s{i % 5}") for i in range(100, 2500)]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), packing.CAPACITY).collect()
+    assert len(packed) == len(rows)
+    sizes = Counter(r.pack for r in packed)
+    assert len(sizes) == 9 and max(sizes.values()) < 2 * len(rows) / 9
