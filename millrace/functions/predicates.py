@@ -12,7 +12,11 @@ from millrace.functions.text import strip
 # Kinds of code units, name parts of embedding models, endings of media and assets.
 UNIT_TYPES = ("function", "class", "loop", "macro", "namespace")
 EMBEDDING_HINTS = ("embed", "bge", "nomic", "minilm", "e5-", "gte-")
-MEDIA = r"(?i)\.(?:png|jpe?g|gif|svg|webp|ico|css|js|woff2?|ttf|mp[34]|webm|ogg|pdf|zip)$"
+# Folders, parts of paths and extensions of media and assets, and the MIME types of pages that aren't text/*.
+MEDIA_FOLDERS = ["images/", "img/", "css/", "js/", "fonts/", "style/", "static/", "users/", "api/", "tags/"]
+MEDIA_PARTS = ["/img/", "/images/", "/content/img/", "sprite", "favicon"]
+MEDIA_EXTENSIONS = [".css", ".js", ".png", ".jpg", ".jpeg", ".svg", ".gif", ".ico", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".json", ".xml", ".mp3", ".mp4"]
+PAGE_TYPES = ["application/xhtml+xml", "application/html"]
 #: What a model is told by the category of its task.
 SYSTEM_PROMPTS = {
     "explanation": ("Explain the given code step by step.", "Verilen kodu adım adım açıkla."),
@@ -38,8 +42,12 @@ def to_embed(text: Column, is_embedded: Column) -> Column:
 
 
 def is_page(path: Column, mime: Column) -> Column:
-    """FLT-32: a text page by its mime type, and no media or asset by its path."""
-    return F.coalesce(F.lower(mime).startswith("text/html") & ~path.rlike(MEDIA), F.lit(False))
+    """FLT-32: no media or asset by its path, and text by its MIME type, if it has one."""
+    lowered = F.lower(F.coalesce(path, F.lit("")))
+    quoted = lambda words: "|".join(rf"\Q{w}\E" for w in words)
+    asset = lowered.rlike(rf"\A(?:{quoted(MEDIA_FOLDERS)})|{quoted(MEDIA_PARTS)}") | F.substring_index(lowered, "?", 1).rlike(rf"(?:{quoted(MEDIA_EXTENSIONS)})\z")
+    kind = F.coalesce(mime, F.lit(""))
+    return ~asset & ((kind == "") | F.startswith(kind, F.lit("text/")) | kind.isin(*PAGE_TYPES))
 
 
 def is_chat_model(name: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from millrace.operators.lines import byte_coverage
+from millrace.operators.ranking import with_position
 
 # Folders and extensions that hold no source text.
 IGNORED_DIRS = ".git .venv venv __pycache__ .pytest_cache .antigravity node_modules .idea .vscode dist build .egg-info qdrant_db".split()
@@ -128,8 +129,16 @@ def coverage(files: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def repository_text(files: DataFrame, repo: str) -> DataFrame:
-    """SNK-07, AG-17: the files of a repository as one Markdown text, in the order of paths."""
+def repository_parts(files: DataFrame, repo: str) -> DataFrame:
+    """SNK-07, AG-17: repo, position (from 0), text: the files of each repository as the parts of one Markdown text, in the
+    order of paths. A repository of any size is many rows in order; a sink that writes them in that order has the whole text."""
     part = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n```\n"), F.col("text"), F.lit("\n```\n"))
-    listed = F.sort_array(F.collect_list(F.struct("path", part.alias("part"))))
-    return files.groupBy(repo).agg(F.array_join(F.transform(listed, lambda x: x["part"]), "\n").alias("text"))
+    placed = with_position(files.select(repo, "path", part.alias("text")), repo, "path", name="_at")
+    first = placed.groupBy(repo).agg(F.min("_at").alias("_first"))
+    return placed.join(first, repo).select(repo, (F.col("_at") - F.col("_first")).alias("position"), "text")
+
+
+def repository_text(files: DataFrame, repo: str) -> DataFrame:
+    """The parts of :func:`repository_parts` as one text a repository, for repositories that fit a row."""
+    listed = F.sort_array(F.collect_list(F.struct("position", "text")))
+    return repository_parts(files, repo).groupBy(repo).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))

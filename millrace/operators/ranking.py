@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from millrace.session import written
 
 
+#: First rows in order that one task takes; more are found by their positions.
+ONE_TASK = 10_000
+
+
 def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     """``df`` with the 0-based position of each row in the order of the columns (give a total order).
 
@@ -42,7 +46,7 @@ def range_slice(df: DataFrame, limit, *order: str) -> DataFrame:
     start, end = parse_limit(limit)
     if start == 0 and end is None:
         return df
-    if start == 0:
+    if start == 0 and end <= ONE_TASK:
         return df.orderBy(*order).limit(end)
     placed = with_position(df, *order)
     wanted = F.col("position") >= start
@@ -51,7 +55,9 @@ def range_slice(df: DataFrame, limit, *order: str) -> DataFrame:
 
 def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
     """SL-02, SRC-15: page ``number`` (from 1) of ``size`` rows."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    if number * size <= ONE_TASK:
+        return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return range_slice(df, f"{(number - 1) * size}:{number * size}", *order)
 
 
 def range_shards(df: DataFrame, shards: int, *order: str) -> DataFrame:

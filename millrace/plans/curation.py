@@ -461,11 +461,14 @@ def unit_coverage(spark, sf_dir):
     return code_units.unit_coverage(code_units.extract_units(files), files.select("path", F.octet_length("text").cast("long").alias("size")))
 
 
-@register("repository_markdown", "SELECT lang AS repo, string_agg('## ' || source || '/' || doc_id || chr(10) || chr(10) || '```' || chr(10) || lang || chr(10) || '```' || chr(10), chr(10) ORDER BY source || '/' || doc_id) AS text FROM documents GROUP BY lang")
+@register(
+    "repository_markdown",
+    """SELECT lang AS repo, row_number() OVER (PARTITION BY lang ORDER BY source || '/' || doc_id) - 1 AS position, '## ' || source || '/' || doc_id || chr(10) || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) AS text FROM documents""",
+)
 def repository_markdown(spark, sf_dir):
-    """SNK-07, AG-17, SL-09: a repository's files as one text, in the order of their paths."""
-    files = table(spark, sf_dir, "documents").selectExpr("lang AS repo", "concat(source, '/', doc_id) AS path", "lang AS text")
-    return code_units.repository_text(files, "repo")
+    """SNK-07, AG-17, SL-09: a repository's files as the parts of one text, in the order of their paths."""
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("repo"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return code_units.repository_parts(files, "repo")
 
 
 # ---- rules over single columns
@@ -484,7 +487,7 @@ def intake_rules(spark, sf_dir):
         "doc_id",
         P.of_types(pick(5, "function", "macro", "class", "namespace", "loop"), ["function", "class"]).alias("of_types"),
         P.to_embed(F.col("lang"), F.when(F.col("doc_id") % 2 == 1, 1)).alias("to_embed"),
-        P.is_page(pick(3, "a/b", "a/b.PNG", "a/c"), pick(3, "text/html; charset=utf-8", "text/html", "text/css")).alias("is_page"),
+        P.is_page(pick(3, "a/b", "a/b.PNG", "a/c"), pick(3, "text/html; charset=utf-8", "text/html", "image/png")).alias("is_page"),
         P.is_chat_model(pick(4, "qwen3:8b", "nomic-Embed-text", "llama", "gemma")).alias("is_chat_model"),
         P.reply_status(pick(3, " [Error] no reply at all came back", "short", "a reply that is long enough to count")).alias("reply_status"),
         P.own_input(pick(2, " Context: x", "own")).alias("own_input"),

@@ -274,3 +274,11 @@ def test_strict_inputs(spark):
         predicates.of_types(F.col("t"), ["function", "verse"])
     with pytest.raises(Exception, match="unknown language"):
         one(spark, tables.normalised(F.col("t"), {"en": "english"}, "language"), t="xx")
+
+
+def test_deep_pages_and_long_slices(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ONE_TASK", 20)
+    df = spark.range(100).repartition(5)
+    assert sorted(r.id for r in ranking.page(df, 5, 10, "id").collect()) == list(range(40, 50))
+    assert sorted(r.id for r in ranking.range_slice(df, 50, "id").collect()) == list(range(50))
+    assert [r.id for r in ranking.page(df, 1, 10, "id").collect()] == list(range(10))
