@@ -405,12 +405,16 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
 
 def _missed(signed: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
     """a, b: all similar texts of different roots (doc, root) that share a shingle of their prefixes."""
-    known = written(signed.select("doc", F.size("shingles").alias("n"), "prefix").join(rooted, "doc"), "prefixes")
-    maps = signed.select("doc", "map")
-    met = known.select("doc", "root", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = met.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).where("r < s")
-    shared = written(shared.select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cuts")), "shared-shingles")
-    asked = met.join(shared, "key").join(maps, "doc").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    known = signed.select("doc", "prefix").join(rooted, "doc")
+    # Rows of a key meet once: which keys several roots share is found where the rows are, and what is wide comes after.
+    # An array, so that both uses of the rows read the same columns and the second takes the first one's exchange.
+    met = known.select("doc", "root", F.posexplode("prefix").alias("pos", "key"))
+    met = met.select("key", F.array("doc", "root", F.col("pos").cast("long")).alias("x")).repartition("key")
+    shared = met.groupBy("key").agg(F.min(F.get("x", F.lit(1))).alias("r"), F.max(F.get("x", F.lit(1))).alias("s"), F.count("*").alias("m")).where("r < s")
+    asked = met.join(shared.select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("cuts")), "key")
+    asked = written(asked.select("key", F.get("x", F.lit(0)).alias("doc"), F.get("x", F.lit(2)).cast("int").alias("pos"), "cuts"), "shared-shingles")
+    of_doc = signed.select("doc", F.size("shingles").alias("n"), "map").join(rooted, "doc")
+    asked = asked.join(of_doc, "doc").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     asked = asked.groupBy("key", F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).agg(F.collect_list(F.struct("doc", "root", "n", "pos", "map")).alias("m"))
     pairs = written(asked.select("m").mapInArrow(_candidates(similarity), "a long, b long").distinct(), "candidates")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
