@@ -65,9 +65,14 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that :func:`written` makes inside are deleted at the end; what is still needed is written with ``keep``."""
+    """Tables that :func:`written` makes inside are deleted at the end; what is still needed is written with ``keep``.
+
+    Shuffle files of jobs that have ended go as well: Spark removes them once the driver's garbage collection finds that no
+    plan needs them, which may be much later if the driver has memory to spare.
+    """
     _OPEN.append([])
     try:
         yield
     finally:
         removed(spark, _OPEN.pop())
+        spark._jvm.java.lang.System.gc()
