@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.workers import given_back
 from millrace.session import scratch, written
 
 SEED = 42
@@ -375,6 +376,7 @@ def _similar(docs: DataFrame, n_words: int, max_bits: int, similarity: float) ->
                      pa.array([m for _, m, _ in found], pa.list_(pa.int64())), _lists(prefixes, np.int64), _lists([s for *_, s in found], np.int32)],
                     ["doc", "same", "fp", "map", "least", "prefix", "shingles"],
                 )
+        given_back()
 
     signed = written(docs.select("doc", "text").mapInArrow(sign, _SIGNED), "signatures")
     texts = signed.select("doc", "same")
@@ -445,6 +447,7 @@ def _candidates(similarity: float):
                     b = doc[j[may_be_similar(maps[j], maps[i], n[j], n[i], similarity)]]
                     if len(b):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), doc[i])), pa.array(b)], ["a", "b"])
+        given_back()
 
     return run
 
@@ -477,6 +480,7 @@ def _verified(max_bits: int, similarity: float):
                 a.append(doc[k])
                 b.append(doc[label[k]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
+        given_back()
 
     return run
 

@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.workers import given_back
+
 #: Labelled documents for training: at most this many of each label, and this many bytes of their text.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 10 << 20
 #: Bytes of the part that both dictionaries share, and of the part of their own.
@@ -192,22 +194,19 @@ def train(docs: DataFrame, labels: DataFrame, may_learn=None) -> ToxicityModel:
     return model
 
 
-_DISTANCES: dict[str, WindowDistance] = {}
-
-
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with the column score of every whole text."""
-    name = model.name
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if model.weights and name not in _DISTANCES:
-            _DISTANCES.clear()
-            _DISTANCES[name] = WindowDistance(model.toxic, model.ordinary)
+        # What is remembered of windows is a task's own, and goes with it.
+        distance = WindowDistance(model.toxic, model.ordinary) if model.weights else None
         for batch in texts:
-            if not model.weights:
+            if distance is None:
                 yield pd.Series(np.zeros(len(batch)))
                 continue
-            yield pd.Series([model.score(_features(_DISTANCES[name], windows(t))) for t in batch], dtype="float64")
+            yield pd.Series([model.score(_features(distance, windows(t))) for t in batch], dtype="float64")
+        del distance
+        given_back()
 
     return docs.withColumn("score", score("text"))
