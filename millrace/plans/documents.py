@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking, export, html_markdown, judging, lines, ranking, spans, tables
+from millrace.operators import chapters, chunking, export, html_markdown, judging, lines, ranking, spans, tables
 from millrace.plans.registry import register, table
 
 _BOILER = r"\b(licen[sc]e|copyright|creative commons|cc by-nd|cc-by|colophon|build-date|build-version|disclaimer|indemnif\w*|high risk activities|all rights reserved|table of contents|fihrist|lisans|standard terms)\b"
@@ -421,3 +422,32 @@ def dpo_records_valid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("prompt"), F.col("text").alias("chosen"), F.substring("text", 1, 400).alias("rejected"))
     found = docs.where(export.valid_record(docs)).withColumn("status", judging.preference_status(F.col("prompt"), F.col("chosen"), F.col("rejected")))
     return found.groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Books are customers, a page an order: a third has an outline, a third pages with headings, a third neither.
+_PAGES = "p AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page, o_orderkey AS k, o_orderpriority AS t FROM orders)"
+
+
+@register(
+    "book_chapters",
+    f"""WITH RECURSIVE {_PAGES},
+n AS (SELECT doc_id, page AS pos, t AS title, k % 3 AS depth, CASE WHEN k % 7 <> 0 THEN page // 2 END AS page FROM p WHERE doc_id % 3 = 0),
+u AS (SELECT n.*, (SELECT max(m.pos) FROM n m WHERE m.doc_id = n.doc_id AND m.pos < n.pos AND m.depth < n.depth) AS parent FROM n),
+w AS (SELECT doc_id, pos, CASE WHEN page IS NULL THEN '' ELSE title END AS told FROM u WHERE parent IS NULL
+  UNION ALL SELECT u.doc_id, u.pos, CASE WHEN u.page IS NULL THEN told WHEN told = '' THEN u.title ELSE told || ' - ' || u.title END FROM u JOIN w ON u.doc_id = w.doc_id AND u.parent = w.pos),
+b AS (SELECT doc_id, max(page) + 1 AS n_pages FROM p GROUP BY doc_id),
+f AS (SELECT u.doc_id, u.page, told, depth FROM u JOIN w USING (doc_id, pos) WHERE page IS NOT NULL QUALIFY row_number() OVER (PARTITION BY u.doc_id, u.page ORDER BY pos) = 1),
+a AS (SELECT doc_id, told AS title, page AS start, 'outline' AS found_by FROM (SELECT *, bool_or(depth <= 1) OVER (PARTITION BY doc_id) AS any_shallow FROM f) WHERE depth <= 1 OR NOT any_shallow
+  UNION ALL SELECT doc_id, 'Chapter ' || k || ' xyz', page, 'headings' FROM p WHERE doc_id % 3 = 1 AND k % 2 = 0),
+c AS (SELECT a.doc_id, title, start, coalesce(lead(start) OVER (PARTITION BY a.doc_id ORDER BY start), n_pages) - 1 AS stop, found_by FROM a JOIN b USING (doc_id))
+SELECT doc_id, title, start, stop, found_by FROM c
+UNION ALL SELECT doc_id, 'Section starting page ' || (start + 1), start, least(start + 15, n_pages) - 1, 'slices' FROM (SELECT *, unnest(range(0, n_pages, 15)) AS start FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a))""",
+)
+def book_chapters(spark, sf_dir):
+    """SRC-27, STR-23, PRJ-10, WN-16: chapters of books down to the second level of their outline, else by headings, else by slices."""
+    page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
+    text = F.when((F.col("o_custkey") % 3 == 1) & (F.col("o_orderkey") % 2 == 0), F.concat(F.lit("\n Chapter "), "o_orderkey", F.lit(" xyz\nbody"))).otherwise(F.col("o_orderpriority"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), page.alias("page"), text.alias("text"), "o_orderkey", "o_orderpriority")
+    known = F.when(F.col("o_orderkey") % 7 != 0, F.floor(F.col("page") / 2))
+    nodes = pages.where("doc_id % 3 = 0").select("doc_id", F.col("page").alias("pos"), F.col("o_orderpriority").alias("title"), (F.col("o_orderkey") % 3).alias("depth"), known.alias("page"))
+    return chapters.book_segments(pages.select("doc_id", "page", "text"), nodes, max_depth=1)

@@ -11,7 +11,7 @@ from millrace.functions import vectors as V
 from millrace.operators import export, judging, lines, tables, training_tokens
 from millrace.plans.registry import register, table
 from millrace.session import shared_dir
-from millrace.streaming import incremental, jobs
+from millrace.streaming import incremental, jobs, rounds
 
 
 @register(
@@ -102,6 +102,28 @@ def stream_job_states(spark, sf_dir):
     return spark.read.schema(jobs.RESULT).parquet(f"{base}/out").select("queue", F.unix_timestamp("at").alias("at_seconds"), "seq", "job_id", "result", "state")
 
 
+@register(
+    "stream_rounds",
+    """WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS rank, count(*) OVER () AS total FROM orders)
+       SELECT o_orderkey, rank, rank - rank % CAST(ceil(total / 6.0) AS BIGINT) AS start FROM n""",
+)
+def stream_rounds(spark, sf_dir):
+    """ST-04, ST-09: orders worked off in six rounds by two starts of a stream; the second one resumes at the first's next index."""
+    base = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    total = rounds.numbered(orders, ["o_custkey", "o_orderkey"], f"{base}/numbered")
+
+    def work(rows, start, stop):
+        rows.select("o_orderkey", "rank", F.lit(start).cast("long").alias("start")).write.mode("overwrite").parquet(f"{base}/out/round={start}")
+
+    for most in (2, 0):
+        query = rounds.run_rounds(spark, f"{base}/numbered", orders.schema, total, work, f"{base}/state", limit=max(1, -(-total // 6)), max_rounds=most)
+        query.processAllAvailable()
+        query.stop()
+    done = "o_orderkey long, rank long, start long"
+    return spark.read.schema(done).parquet(f"{base}/out").select("o_orderkey", "rank", "start") if total else spark.createDataFrame([], done)
+
+
 @register(
     "daily_windows",
     "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
