@@ -79,6 +79,7 @@ def book_segments(pages: DataFrame, outline: DataFrame, key: str = "doc_id", ord
 
     Each book takes the first way that finds a node in it: its outline, headings of its pages, slices of 15 pages. Pages are
     numbered without gaps; repeated ones count once. An outline that finds no page of a book that exists counts as none.
+    Pages of a null key are one book, which is cut into slices.
     """
     books = pages.groupBy(key).agg((F.max("page").cast("long") + 1).alias("n_pages"))
     titled = nested_titles(outline, key, order).join(books, key).where("page >= 0 AND page < n_pages").drop("n_pages")
