@@ -12,13 +12,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column | str) -> Column:
-    """A vector as doubles of length one; null where it is null or of no length."""
-    v = F.col(v) if isinstance(v, str) else v
-    # The length is one element of an array, so that it is made once a row.
-    return F.element_at(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))), 1)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """MH-01: cosine similarity; null where a vector is null, of another length or of no length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

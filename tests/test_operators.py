@@ -1,6 +1,7 @@
 """Fixed cases and brute-force versions of what SQL can't express."""
 
 import json
+import random
 import uuid
 
 import pytest
@@ -76,6 +77,25 @@ def test_index_and_search(spark):
     assert best.point_id == str(uuid.uuid5(uuid.NAMESPACE_DNS, "1_chunk_0")) and best.score == pytest.approx(1)
 
 
+def test_nearest_like_a_plain_loop_over_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "SLICE", 7)
+    monkeypatch.setattr(vector_search, "BLOCK", 3)
+    monkeypatch.setattr(vector_search, "STRIP", 2)
+    rng = random.Random(5)
+    vectors = [[float(rng.randrange(-1, 3)) for _ in range(rng.choice([3, 3, 3, 4]))] for _ in range(60)]
+    points = spark.createDataFrame(list(enumerate(vectors)), "point_id long, vector array<float>")
+    queries = points.where("point_id % 5 = 0").withColumnRenamed("point_id", "query_id")
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    for k, threshold, own in ((1, None, True), (4, None, True), (12, 0.2, False)):
+        want = set()
+        for q in range(0, 60, 5):
+            near = [(i, sum(x * y for x, y in zip(v, vectors[q], strict=True)) / size(v) / size(vectors[q])) for i, v in enumerate(vectors) if len(v) == len(vectors[q]) and size(v) and size(vectors[q]) and (i != q or own)]
+            near = sorted((-round(s, 9), i) for i, s in near if threshold is None or s > threshold)[:k]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(near)}
+        got = vector_search.nearest(points, queries, k, threshold=threshold, leave_out_own=not own)
+        assert {(r.query_id, r["rank"], r.point_id, round(r.score, 9)) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("limit,want", [(None, (0, None)), ("all", (0, None)), (0, (0, None)), ("-3", (0, None)), (7, (0, 7)), ("2:5", (2, 5)), ("4:", (4, None)), (":3", (0, 3))])
 def test_limits(limit, want):
     assert ranking.parse_limit(limit) == want
