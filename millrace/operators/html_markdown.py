@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -89,10 +89,15 @@ class _Reader:
         return re.sub(r"\n{3,}", "\n\n", lines).strip()
 
 
+#: Pages whose texts a worker holds as Python strings at once.
+HELD = 64
+
+
 def _converter(wiki: bool):
-    @F.pandas_udf(StringType())
-    def convert(pages: pd.Series) -> pd.Series:
-        return pd.Series([_Reader(wiki).read(p or "") for p in pages], dtype=object)
+    @F.arrow_udf(StringType())
+    def convert(pages: pa.Array) -> pa.Array:
+        parts = (pages.slice(i, HELD).to_pylist() for i in range(0, len(pages), HELD))
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([_Reader(wiki).read(p or "") for p in part], pa.string()) for part in parts)])
 
     return convert
 
