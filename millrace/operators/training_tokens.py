@@ -5,13 +5,16 @@ A tokenizer is any function from text to ids, applied to each message between ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-ROWS = "array<struct<kind:string,tokens:array<int>,loss_mask:array<int>,n_tokens:int,n_prompt_tokens:int,n_completion_tokens:int,n_trainable_tokens:int,truncated:boolean>>"
+ROWS = "kind string, tokens array<int>, loss_mask array<int>, n_tokens int, n_prompt_tokens int, n_completion_tokens int, n_trainable_tokens int, truncated boolean"
+#: Ids that a worker holds before it hands their rows on.
+HELD = 1 << 20
 Tokenizer = Callable[[str], list[int]]
 
 
@@ -53,8 +56,25 @@ def token_rows(records: DataFrame, sample_id: str, tokenizer: Tokenizer = byte_t
     """sample_id and the columns of ROWS: up to one row for an instruction or chat record, up to two for a preference record."""
     fields = [c for c in ("instruction", "input", "output", "prompt", "chosen", "rejected", "messages") if c in records.columns]
 
-    @F.pandas_udf(ROWS)
-    def rows(part: pd.DataFrame) -> pd.Series:
-        return pd.Series([_rows(r, tokenizer, longest) for r in part.to_dict("records")])
+    chosen = records.select(sample_id, *fields)
+    kind = StructType([chosen.schema[sample_id], *StructType.fromDDL(ROWS).fields])
+    schema = to_arrow_schema(kind)
 
-    return records.select(sample_id, F.explode(rows(F.struct(*fields))).alias("r")).select(sample_id, "r.*")
+    def handed(ids: pa.Array, at: list[int], found: list[dict]) -> pa.RecordBatch:
+        return pa.record_batch([ids.take(pa.array(at, pa.int64())), *[pa.array([x[f.name] for x in found], f.type) for f in list(schema)[1:]]], schema=schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, columns = batch.column(0), dict(zip(fields, batch.columns[1:], strict=True))
+            at, found, held = [], [], 0
+            for i in range(batch.num_rows):
+                made = _rows({c: v[i].as_py() for c, v in columns.items()}, tokenizer, longest)
+                at += [i] * len(made)
+                found += made
+                held += sum(x["n_tokens"] for x in made)
+                if held >= HELD:
+                    yield handed(ids, at, found)
+                    at, found, held = [], [], 0
+            yield handed(ids, at, found)
+
+    return chosen.mapInArrow(rows, kind)

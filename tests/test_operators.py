@@ -231,6 +231,21 @@ def test_token_query_keeps_whole_dialogues(spark, tmp_path):
     assert cut.truncated and cut.n_tokens == 8192
 
 
+def test_rows_of_many_dialogues_are_handed_on_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(training_tokens, "HELD", 30)
+    docs = spark.createDataFrame([(i, "ask", "" if i % 7 else " ", "x" * i) for i in range(60)], "id long, instruction string, input string, output string").coalesce(1)
+    got = {r.id: r for r in training_tokens.token_rows(docs, "id").collect()}
+    assert set(got) == set(range(1, 60))
+    assert all(bytes(t for t, m in zip(r.tokens, r.loss_mask, strict=True) if m) == b"x" * i + b"\n" for i, r in got.items())
+
+
+def test_markdown_of_more_pages_than_are_held(spark, monkeypatch):
+    monkeypatch.setattr(html_markdown, "HELD", 3)
+    pages = spark.createDataFrame([(i, None if i == 4 else f"<p>p{i}</p>") for i in range(11)], "id int, t string").coalesce(1)
+    got = {r.id: r.m for r in pages.select("id", html_markdown.markdown(F.col("t")).alias("m")).collect()}
+    assert got == {i: "" if i == 4 else f"p{i}" for i in range(11)}
+
+
 def test_spans(spark):
     def at(text, quote):
         return tuple(one(spark, spans.located(F.col("t"), F.col("q")), t=text, q=quote))
