@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,15 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     want = results(jobs.replay_jobs(events, 600, at(last)))
     assert results(spark.read.parquet(target)) == want
     assert {r for _, _, _, r, _ in want} == {"submitted", "active_job_exists", "updated", "unchanged", "deleted", "not_found", "expired"}
+
+
+def test_an_event_does_not_look_at_every_job():
+    # Twenty thousand active jobs, each heard of three times: minutes if every event looks at all of them.
+    n = 20_000
+    events = [(k, k, "submit" if k < n else "status", f"j{k % n}", "JOB_STATE_RUNNING", True) for k in range(4 * n)]
+    known = {}
+    began = time.process_time()
+    out = list(jobs.advance(known, events, 10 * n, 20 * n))
+    assert time.process_time() - began < 20
+    assert [sum(r[3] == x for r in out) for x in ("submitted", "updated", "expired")] == [n, 3 * n, n]
+    assert all(state == jobs.EXPIRED for state, _, _ in known.values()) and len(known) == n
