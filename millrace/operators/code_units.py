@@ -13,6 +13,10 @@ from pyspark.sql.types import BooleanType
 
 from millrace.operators.lines import byte_coverage
 from millrace.operators.ranking import with_position
+from millrace.session import written
+
+#: Bytes of text that one part of a repository's order holds, and repositories up to which their first positions are broadcast.
+PART_BYTES, BROADCAST_REPOSITORIES = 16 << 20, 500_000
 
 # Folders and extensions that hold no source text.
 IGNORED_DIRS = ".git .venv venv __pycache__ .pytest_cache .antigravity node_modules .idea .vscode dist build .egg-info qdrant_db".split()
@@ -133,9 +137,12 @@ def repository_parts(files: DataFrame, repo: str) -> DataFrame:
     """SNK-07, AG-17: repo, position (from 0), text: the files of each repository as the parts of one Markdown text, in the
     order of paths. A repository of any size is many rows in order; a sink that writes them in that order has the whole text."""
     part = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n```\n"), F.col("text"), F.lit("\n```\n"))
-    placed = with_position(files.select(repo, "path", part.alias("text")), repo, "path", name="_at")
-    first = placed.groupBy(repo).agg(F.min("_at").alias("_first"))
-    return placed.join(first, repo).select(repo, (F.col("_at") - F.col("_first")).alias("position"), "text")
+    size = files.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("n")).first().n or 0
+    placed = with_position(files.select(repo, "path", part.alias("text")), repo, "path", name="_at", parts=-(-size // PART_BYTES))
+    # Texts aren't dealt by their repository, of which there may be few: its first position is put beside them.
+    first = written(placed.groupBy(F.col(repo).alias("_repo")).agg(F.min("_at").alias("_first")), "repositories")
+    first = F.broadcast(first) if first.count() <= BROADCAST_REPOSITORIES else first
+    return placed.join(first, F.col(repo).eqNullSafe(F.col("_repo"))).select(repo, (F.col("_at") - F.col("_first")).alias("position"), "text")
 
 
 def repository_text(files: DataFrame, repo: str) -> DataFrame:

@@ -12,14 +12,15 @@ from millrace.session import written
 ONE_TASK = 10_000
 
 
-def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, *order: str, name: str = "position", parts: int | None = None) -> DataFrame:
     """``df`` with the 0-based position of each row in the order of the columns (give a total order).
 
-    Rows are range-partitioned and sorted once; a partition's offset is the sum of the counts before it (a row a partition).
+    Rows are range-partitioned (into ``parts``, or as the session has it) and sorted once; a partition's offset is the sum of the counts before it (a row a partition).
     WN-13.
     """
     cols = df.columns
-    ordered = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    dealt = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(max(1, parts), *order)
+    ordered = written(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
     counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions, not rows
