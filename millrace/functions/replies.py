@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,8 +123,6 @@ def replaced_once(c: Column, pairs: list[tuple[str, str]], flags: str = "iuU") -
     """
     bound = r"\b"
     every = f"(?{flags})" + "|".join(f"(?:{p})" for p, _ in pairs)
-    found = F.regexp_extract_all(c, F.lit(every), F.lit(0))
-    between = F.split(c, every, -1)
 
     def new(m: Column) -> Column:
         out = m
@@ -131,16 +131,24 @@ def replaced_once(c: Column, pairs: list[tuple[str, str]], flags: str = "iuU") -
             out = F.when(m.rlike(rf"(?{flags})\A(?:{p.removeprefix(bound).removesuffix(bound)})\z"), F.lit(r)).otherwise(out)
         return out
 
-    joined = F.array_join(F.zip_with(between, F.concat(F.transform(found, new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return F.when(F.size(found) > 0, joined).otherwise(c)
+    def joined(text: Column, found: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(text, every, -1), F.concat(F.transform(found, new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    each = lambda text: _once(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda found: F.when(F.size(found) > 0, joined(text, found)).otherwise(text))
+    return _once(c, each)
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column that is made once a row, as one element of an array, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
 
 
 def clean_scan(c: Column) -> Column:
     """STR-05: scanned text with broken words joined: at line ends, before suffixes (doubtful ones only in a text with Turkish
     letters, and never after NO_STEMS), and with misread words corrected."""
-    out = ocr_joined(c)
-    out = F.regexp_replace(out, rf"(?iuU)\b([{_LETTERS}]{{3,}})\s+({SUFFIXES})\b", "$1$2")
+    # Letters and white space exclude each other, so neither gives anything back (++) when no suffix follows.
+    out = F.regexp_replace(ocr_joined(c), rf"(?iuU)\b([{_LETTERS}]{{3,}}+)\s++({SUFFIXES})\b", "$1$2")
     kept = rf"(\b(?:{'|'.join(NO_STEMS)})\s+(?:{DOUBTFUL_SUFFIXES})\b)"
-    joined = F.regexp_replace(out, rf"(?iuU){kept}|\b([{_LETTERS}]{{3,}})\s+({DOUBTFUL_SUFFIXES})\b", "$1$2$3")
-    out = F.when(out.rlike("[çğıöşüÇĞİÖŞÜ]"), joined).otherwise(out)
-    return replaced_once(out, CORRECTIONS)
+    pattern = rf"(?iuU){kept}|\b([{_LETTERS}]{{3,}}+)\s++({DOUBTFUL_SUFFIXES})\b"
+    joined = _once(out, lambda x: F.when(x.rlike("[çğıöşüÇĞİÖŞÜ]"), F.regexp_replace(x, pattern, "$1$2$3")).otherwise(x))
+    return replaced_once(joined, CORRECTIONS)
