@@ -61,6 +61,8 @@ CORRECTIONS = [
     (r"\bF1gute\b", "Figure"),
     (r"\bf1gure\b", "figure"),
 ]
+#: How what is corrected begins.
+CORRECTED = r"\b[İTiBmSMcrsdaf]|c(?:ircu it|apaci tor)|transi stor|resis tor"
 _LETTERS = "a-zA-ZçğıöşüÇĞİÖŞÜ"
 
 
@@ -115,14 +117,14 @@ def clean_reply(c: Column) -> Column:
     return strip(F.when(monologue, F.substr(out, heading, F.length(out))).otherwise(out))
 
 
-def replaced_once(c: Column, pairs: list[tuple[str, str]], flags: str = "iuU") -> Column:
+def replaced_once(c: Column, pairs: list[tuple[str, str]], flags: str = "iuU", starts: str = "") -> Column:
     """``c`` with every match of a dictionary's patterns replaced, in one pass of one combined pattern.
 
     At each place the first pattern of the list that matches wins, so longer ones go before their beginnings. Only matches are
-    looked up; replacements are never searched again.
+    looked up; replacements are never searched again. ``starts`` is what every match begins with, so that most places are passed over.
     """
     bound = r"\b"
-    every = f"(?{flags})" + "|".join(f"(?:{p})" for p, _ in pairs)
+    every = f"(?{flags})(?={starts})(?:" + "|".join(f"(?:{p})" for p, _ in pairs) + ")"
 
     def new(m: Column) -> Column:
         out = m
@@ -151,4 +153,4 @@ def clean_scan(c: Column) -> Column:
     kept = rf"(\b(?:{'|'.join(NO_STEMS)})\s+(?:{DOUBTFUL_SUFFIXES})\b)"
     pattern = rf"(?iuU){kept}|\b([{_LETTERS}]{{3,}}+)\s++({DOUBTFUL_SUFFIXES})\b"
     joined = _once(out, lambda x: F.when(x.rlike("[çğıöşüÇĞİÖŞÜ]"), F.regexp_replace(x, pattern, "$1$2$3")).otherwise(x))
-    return replaced_once(joined, CORRECTIONS)
+    return replaced_once(joined, CORRECTIONS, starts=CORRECTED)

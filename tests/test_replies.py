@@ -88,3 +88,17 @@ def test_scan_query_like_one_replacement_after_another(spark, small):
     got = {r.doc_id: r.cleaned for r in registry.queries()["scan_cleaning"](spark, small).collect()}
     head = "The c1rcu1t of {} with AMPL1F1ER {} and transi stor, broken li-\n  nes lik; pin ten, {}. {}"
     assert got == {i: plain_scan(head.format(d.lang, i, d.source, d.text)) for i, d in docs.items()}
+
+
+def test_every_correction_is_found_where_it_may_begin(spark):
+    plain = {"(?-i:": "", ")": "", r"\b": "", r"['’\s]*": "'", r"\s+": " ", r"\s*": " ", r"\.": ".", "?": ""}
+    words = []
+    for p, _ in replies.CORRECTIONS:
+        for old, new in plain.items():
+            p = p.replace(old, new)
+        words.append(p)
+    texts = [f"so {w} it" for w in words] + [f"x{w}" for w in words]
+    got = on(spark, lambda c: replies.replaced_once(c, replies.CORRECTIONS, starts=replies.CORRECTED), texts)
+    assert got == on(spark, lambda c: replies.replaced_once(c, replies.CORRECTIONS), texts)
+    # A point at the end of a word isn't followed by a word's bound here.
+    assert sum(g != t for g, t in zip(got, texts, strict=True)) >= len(words) - 2
